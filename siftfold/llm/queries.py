@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from siftfold.llm import exact_dedup, licenses, media, mixing, token_counts
+from siftfold.llm import exact_dedup, licenses, media, mixing, quality, token_counts, toxicity
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_media_columns": media.op6_media_columns,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_license_scan": licenses.op8_license_scan,
+    "op9_quality": quality.op9_quality,
 }
 ORACLES = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op4_mixing": mixing.OP4_SQL}
