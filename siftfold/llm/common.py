@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -82,3 +83,75 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: Groups with over this share of all rows are looked up by a broadcast; there can't be more than its inverse.
+HOT_SHARE = 1 / 2000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` left join ``groups`` on ``key``, where ``groups`` has one row a key and ``n`` tells how many rows it has.
+
+    Rows of hot groups don't meet in one task: their groups, 2000 at most, are broadcast.
+    """
+    most = max(64, int(total * HOT_SHARE))
+    hot, warm = groups.where(F.col(n) > most), groups.where(F.col(n) <= most)
+    columns = [*rows.columns, *(c for c in groups.columns if c != key)]
+    a = rows.join(F.broadcast(hot), key).select(columns)
+    b = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(warm, key, "left").select(columns)
+    return a.unionByName(b)
+
+
+class Bitmap:
+    """A filter of keys, small enough to be broadcast: 16 bits a key, but 2**27 (16 MB) at most. It keeps all rows whose
+    key is among ``keys``, and some others: about one in 16, and more as the bound is reached."""
+
+    LEAST, MOST, PAGE = 1 << 15, 1 << 27, 1 << 15
+
+    def __init__(self, keys: DataFrame, n: int):
+        self.bits = min(max(1 << math.ceil(math.log2(16 * max(n, 1))), self.LEAST), self.MOST)
+        at = self._at(F.col(keys.columns[0]))
+        pages = keys.select((at / self.PAGE).cast("int").alias("_page"), (at % self.PAGE).alias("_bit"))
+        self.pages = pages.groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+
+    def _at(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.bits))
+
+    def keep(self, rows: DataFrame, key: str) -> DataFrame:
+        bit = self._at(F.col(key)) % self.PAGE
+        byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        is_set = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+        paged = rows.withColumn("_page", (self._at(F.col(key)) / self.PAGE).cast("int"))
+        return paged.join(F.broadcast(self.pages), "_page").where(is_set).select(rows.columns)
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """Connected components: for each node that has an edge, (node, root), root the least node of its component.
+
+    ``edges``: a, b of any ordered type, repeated and in any direction. Alternates the large-star and small-star steps
+    (Kiveris et al. 2014), which keep the number of edges and halve the depth, until nothing changes. Nodes of high degree
+    are no group of rows in one task: minima are aggregated, and given back by joins that AQE splits.
+    """
+    def stars(pairs: DataFrame, large: bool) -> DataFrame:
+        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
+        joined = both.join(least, "a")
+        if large:  # neighbours greater than the node move to its least neighbour
+            moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:  # a > b here: the node and its lesser neighbours move to the least of them
+            moved = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        return moved.where(F.col("a") > F.col("b")).distinct()
+
+    now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = written(now, "edges")
+    mark = None
+    for _ in range(rounds):
+        now = written(stars(stars(now, True), False), "edges")
+        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        if seen == mark:
+            break
+        mark = seen
+    else:
+        raise RuntimeError("components did not settle")
+    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftfold.llm.common import ascii_lower, shared_dir, table, written
+from siftfold.llm.common import Bitmap, ascii_lower, join_groups, shared_dir, table, written
 
-#: Groups with over this share of all rows are looked up by a broadcast; there can't be more than its inverse.
-HOT_SHARE = 1 / 2000
-#: Bits of the filter of the hits: 16 for each, within these bounds (16 MB at most are broadcast).
-FILTER_BITS = (1 << 15, 1 << 27)
-_PAGE = 32768
 
 
 class DigestIndex:
@@ -47,22 +41,6 @@ class DigestIndex:
         return self.entries().groupBy("digest").agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
 
 
-def _filter_of(hits: DataFrame, n_hits: int) -> tuple[DataFrame, int]:
-    """Bitmaps of the digests in pages of 4 KB, and the number of bits."""
-    bits = min(max(1 << math.ceil(math.log2(16 * max(n_hits, 1))), FILTER_BITS[0]), FILTER_BITS[1])
-    at = _bit(F.col("digest"), bits)
-    return hits.select((at / _PAGE).cast("int").alias("page"), (at % _PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bitmap")), bits
-
-
-def _bit(digest: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(bits))
-
-
-def _is_set(bitmap: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -88,26 +66,19 @@ def exact_dedup(
     total = entries.count()
     n_groups = groups.count()
 
-    pages, bits = _filter_of(groups, n_groups)
     named = rows.withColumn("digest", F.unhex(digest(F.col("text"))))
-    named = named.withColumn("page", (_bit(F.col("digest"), bits) / _PAGE).cast("int"))
-    maybe = named.join(F.broadcast(pages), "page").where(_is_set(F.col("bitmap"), _bit(F.col("digest"), bits) % _PAGE))
+    maybe = Bitmap(groups.select("digest"), n_groups).keep(named, "digest")
     pick = F.min if keep == "smallest" else F.max
     by_text = maybe.groupBy("digest", "text").agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     seen = by_text.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
     shared = written(seen.where("texts > 1").select("digest"), "digest-collisions")
 
-    hot_rows = max(64, int(total * HOT_SHARE))
-    hot = groups.where(F.col("n") > hot_rows)
-    warm = groups.where(F.col("n") <= hot_rows)
-    found = entries.join(F.broadcast(hot), "digest").unionByName(
-        entries.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(warm, "digest", "left").select("digest", "sha", "id", "keep_id", "n")
-    )
+    found = join_groups(entries, groups, "digest", "n", total)
     if not shared.isEmpty():
         apart = rows.withColumn("digest", F.unhex(digest(F.col("text")))).join(shared, "digest", "left_semi")
         which = apart.groupBy("digest", "text").agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
         apart = apart.join(which, ["digest", "text"]).select("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "id", "keep_id", "n")
-        found = found.join(shared, "digest", "left_anti").unionByName(apart)
+        found = found.join(shared, "digest", "left_anti").select(apart.columns).unionByName(apart)
     keep_id = F.coalesce("keep_id", "id")
     return found.select(
         F.col("id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
