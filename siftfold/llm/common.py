@@ -118,11 +118,36 @@ class Bitmap:
         return F.pmod(F.xxhash64(key), F.lit(self.bits))
 
     def keep(self, rows: DataFrame, key: str) -> DataFrame:
+        """The rows whose key is in the filter; of the others none has a key among those it was made of."""
+        return self._marked(rows, key).where(F.coalesce("_set", F.lit(False))).select(rows.columns)
+
+    def leave(self, rows: DataFrame, key: str) -> DataFrame:
+        """The rows that keep() leaves out."""
+        return self._marked(rows, key).where(~F.coalesce("_set", F.lit(False))).select(rows.columns)
+
+    def _marked(self, rows: DataFrame, key: str) -> DataFrame:
         bit = self._at(F.col(key)) % self.PAGE
         byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         is_set = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
         paged = rows.withColumn("_page", (self._at(F.col(key)) / self.PAGE).cast("int"))
-        return paged.join(F.broadcast(self.pages), "_page").where(is_set).select(rows.columns)
+        return paged.join(F.broadcast(self.pages), "_page", "left").withColumn("_set", is_set)
+
+
+def row_key(id_: Column, text: Column) -> Column:
+    """Tells rows apart by id and text; null ids and texts have keys too."""
+    return F.concat_ws(":", F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("null")), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"))
+
+
+def keep_one(docs: DataFrame, members: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without the rows that ``members`` (_key, kept) does not keep, and one row of each kept key.
+
+    Only rows that a filter of the members' keys lets through are shuffled; the others stay where they are.
+    """
+    members = written(members.groupBy("_key").agg(F.max("kept").alias("kept")), "members")
+    keyed = docs.withColumn("_key", key)
+    filter_ = Bitmap(members.select("_key"), members.count())
+    maybe = filter_.keep(keyed, "_key").join(members.where(~F.col("kept")).select("_key"), "_key", "left_anti").dropDuplicates(["_key"])
+    return filter_.leave(keyed, "_key").select(docs.columns).unionByName(maybe.select(docs.columns))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

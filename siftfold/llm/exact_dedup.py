@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftfold.llm.common import Bitmap, ascii_lower, join_groups, shared_dir, table, written
+from siftfold.llm.common import Bitmap, ascii_lower, join_groups, keep_one, shared_dir, table, written
 
 
 
@@ -82,10 +82,18 @@ def exact_dedup(
     keep_id = F.coalesce("keep_id", "id")
     return found.select(
         F.col("id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("id") == keep_id).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+        F.col("id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts, that of the smallest id; rows with equal ids and texts count as one."""
+    found = exact_dedup(docs, id_col, text_col).where("group_size > 1").select(F.col(id_col).alias("id"), "kept", "text_sha256")
+    sha = F.sha2(ascii_lower(docs[text_col]).cast("binary"), 256)
+    key = lambda id_, sha: F.concat_ws(":", F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("null")), sha)
+    return keep_one(docs, found.select(key(F.col("id"), F.col("text_sha256")).alias("_key"), "kept"), key(docs[id_col], sha))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 

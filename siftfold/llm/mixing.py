@@ -47,19 +47,8 @@ def _targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: f
     return s.select("skey", "source_size", target.alias("target"))
 
 
-def mix_plan(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5,
-    most: float = 2.0,
-    seed: int = 0,
-    fanout: int = FANOUT,
-    levels: int = LEVELS,
-) -> DataFrame:
-    """A row per row of ``docs``: id, size (words), source_size, target (of its source), times, taken = times * size.
+class Mix:
+    """Decides how often each row of ``docs`` is taken.
 
     Sources, by code point and null last, weigh ``weights``, repeating; they share ``share`` times all words, none over
     ``most`` times its own. Complete epochs (all rows of a source) come first; the rest of the target goes to the
@@ -70,40 +59,57 @@ def mix_plan(
     No task sees a whole source: where the rest ends is found among sums of ``fanout`` ranges of the key, refined
     ``levels`` times, and only documents of the last range, one in fanout ** levels, are sorted.
     """
-    q = quality_weight(docs[text_col])
-    key = -F.log(_uniform(docs[id_col], seed)) / q
-    slim = docs.select(
-        docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"),
-        key.alias("key"), F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("~")).alias("skey"),
-    )
-    # The share of an exponential law below the key: as the key orders, and from 0 to 1.
-    slim = written(slim.withColumn("at", F.lit(1.0) - F.exp(-F.col("key"))), "mix-sizes")
-    cells = fanout**levels
-    slim = slim.withColumn("cell", F.least(F.floor(F.col("at") * cells), F.lit(cells - 1)).cast("long"))
-    sizes = slim.groupBy("skey").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
-    plan = _targets(sizes, tuple(weights), share, most)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = written(plan.withColumn("before", F.lit(0).cast("long")).withColumn("edge", F.lit(0).cast("long")), "mix-targets")
-    for k in range(levels):
-        width = fanout ** (levels - 1 - k)
-        inside = slim if k == 0 else slim.join(plan.select("skey", "edge"), "skey").where(F.floor(F.col("cell") / (width * fanout)) == F.col("edge"))
-        sums = inside.groupBy("skey", F.floor(F.col("cell") / width).alias("sub")).agg(F.sum("size").alias("n"))
-        upto = F.sum("n").over(W.partitionBy("skey").orderBy("sub"))
-        sums = sums.withColumn("upto", upto).join(plan.select("skey", F.col("before").alias("base"), "rest"), "skey")
-        first = F.when(F.col("base") + F.col("upto") > F.col("rest"), F.col("sub"))
-        found = sums.groupBy("skey").agg(F.min(first).alias("sub"), F.max("sub").alias("last"), F.min_by(F.col("base") + F.col("upto") - F.col("n"), first).alias("base"), F.max(F.col("base") + F.col("upto")).alias("full"))
-        # where the rest holds all rows, the edge is after the last range
-        plan = written(
-            plan.drop("before", "edge").join(found.select("skey", F.coalesce("sub", F.col("last") + 1).alias("edge"), F.coalesce("base", "full").alias("before")), "skey"), "mix-edges"
-        )
-    rows = slim.join(plan, "skey")
-    at_edge = rows.where(F.col("cell") == F.col("edge"))
-    so_far = F.sum("size").over(W.partitionBy("skey").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
-    at_edge = at_edge.withColumn("extra", (F.col("before") + so_far + F.col("size") / 2 <= F.col("rest")).cast("int"))
-    others = rows.where(F.col("cell") != F.col("edge")).withColumn("extra", (F.col("cell") < F.col("edge")).cast("int"))
-    times = F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(F.lit(0)).cast("long")
-    return others.unionByName(at_edge).select(F.col("id").alias(id_col), "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0, fanout: int = FANOUT, levels: int = LEVELS):
+        self.docs = docs
+        cells = fanout**levels
+        key = -F.log(_uniform(docs[id_col], seed)) / quality_weight(docs[text_col])
+        # The share of an exponential law below the key: as the key orders, and from 0 to 1.
+        cell = F.least(F.floor((F.lit(1.0) - F.exp(-key)) * cells), F.lit(cells - 1)).cast("long")
+        skey = F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("~"))
+        self.columns = {"_id": docs[id_col], "_size": word_count(docs[text_col]), "_key": key, "_cell": cell, "_skey": skey}
+        slim = docs.select(docs[source_col].alias("source"), *(c.alias(k[1:]) for k, c in self.columns.items() if k not in ("_id", "_key")))
+        # what is summed below: (source, range of the key), not documents
+        slim = written(slim.groupBy("skey", "cell").agg(F.sum("size").alias("size"), F.min("source").alias("source")), "mix-sizes")
+        sizes = slim.groupBy("skey").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
+        plan = _targets(sizes, tuple(weights), share, most)
+        epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+        plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+        plan = written(plan.withColumn("before", F.lit(0).cast("long")).withColumn("edge", F.lit(0).cast("long")), "mix-targets")
+        for k in range(levels):
+            width = fanout ** (levels - 1 - k)
+            inside = slim if k == 0 else slim.join(plan.select("skey", "edge"), "skey").where(F.floor(F.col("cell") / (width * fanout)) == F.col("edge"))
+            sums = inside.groupBy("skey", F.floor(F.col("cell") / width).alias("sub")).agg(F.sum("size").alias("n"))
+            upto = F.sum("n").over(W.partitionBy("skey").orderBy("sub"))
+            sums = sums.withColumn("upto", upto).join(plan.select("skey", F.col("before").alias("base"), "rest"), "skey")
+            first = F.when(F.col("base") + F.col("upto") > F.col("rest"), F.col("sub"))
+            found = sums.groupBy("skey").agg(F.min(first).alias("sub"), F.max("sub").alias("last"), F.min_by(F.col("base") + F.col("upto") - F.col("n"), first).alias("base"), F.max(F.col("base") + F.col("upto")).alias("full"))
+            # where the rest holds all rows, the edge is after the last range
+            edges = found.select("skey", F.coalesce("sub", F.col("last") + 1).alias("edge"), F.coalesce("base", "full").alias("before"))
+            plan = written(plan.drop("before", "edge").join(edges, "skey"), "mix-edges")
+        self.plan = plan.select(*(F.col(c).alias("_" + c) for c in plan.columns))
+
+    def decided(self, columns: list[str]) -> DataFrame:
+        """``columns`` of the documents with _id, _size, _source_size, _target, _times."""
+        rows = self.docs.select(*columns, *(c.alias(k) for k, c in self.columns.items())).join(self.plan, "_skey")
+        at_edge = rows.where(F.col("_cell") == F.col("_edge"))
+        so_far = F.sum("_size").over(W.partitionBy("_skey").orderBy("_key", "_id", "_size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_size")
+        at_edge = at_edge.withColumn("_extra", (F.col("_before") + so_far + F.col("_size") / 2 <= F.col("_rest")).cast("int"))
+        others = rows.where(F.col("_cell") != F.col("_edge")).withColumn("_extra", (F.col("_cell") < F.col("_edge")).cast("int"))
+        times = F.when(F.col("_size") > 0, F.col("_epochs") + F.col("_extra")).otherwise(F.lit(0)).cast("long")
+        return others.unionByName(at_edge).select(*columns, "_id", "_size", "_source_size", "_target", times.alias("_times"))
+
+
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """A row per row of ``docs``: id, size (words), source_size, target (of its source), times, taken = times * size; see Mix."""
+    d = Mix(docs, id_col, **options).decided([])
+    return d.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_times").alias("times"), (F.col("_times") * F.col("_size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as Mix takes it."""
+    d = Mix(docs, **options).decided(docs.columns).where("_times > 0")
+    return d.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_n")).select(docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

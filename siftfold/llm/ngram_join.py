@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import Bitmap, components, join_groups, table, text_of, written
+from siftfold.llm.common import Bitmap, components, join_groups, keep_one, row_key, table, text_of, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: The target for the share of pairs at the least similarity that meet in a band.
@@ -107,11 +107,11 @@ def _sets(docs: DataFrame, n: int, signer: Signer | None) -> DataFrame:
                 keys.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None)
                 grams.append(len(g) if signer else g.view(np.int64))
                 bands.append(signer.bands_of(g) if signer and len(g) else None)
-            arrays = [batch.column("id"), pa.array(keys, pa.binary()), pa.array(grams, pa.int64() if signer else pa.list_(pa.int64()))]
+            arrays = [batch.column("id"), batch.column("row_key"), pa.array(keys, pa.binary()), pa.array(grams, pa.int64() if signer else pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(bands, pa.list_(pa.int64()))] if signer else [])], names=names)
 
-    names = ["id", "key", "grams", *(["bands"] if signer else [])]
-    fields = [docs.schema["id"], T.StructField("key", T.BinaryType()), T.StructField("grams", T.LongType() if signer else T.ArrayType(T.LongType()))]
+    names = ["id", "row_key", "key", "grams", *(["bands"] if signer else [])]
+    fields = [docs.schema["id"], docs.schema["row_key"], T.StructField("key", T.BinaryType()), T.StructField("grams", T.LongType() if signer else T.ArrayType(T.LongType()))]
     if signer:
         fields.append(T.StructField("bands", T.ArrayType(T.LongType())))
     return docs.mapInArrow(run, T.StructType(fields))
@@ -178,7 +178,7 @@ def _compare(band: int, similarity: float, left: list, right: list) -> Iterator[
 
 
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, n: int = WORDS, rows: int = ROWS, bands: int | None = None, block: int = BLOCK) -> DataFrame:
-    """A row per row of ``docs``: id, class_id, copies, n_links.
+    """A row per row of ``docs``: id, class_id, copies, n_links, row_key (tells rows apart by id and text).
 
     ``copies`` is the number of rows with the same set of n-grams of words (after lower-casing A-Z), ``n_links`` the number
     of other sets with a Jaccard similarity of ``similarity`` or more, and ``class_id`` the least id of all rows that copies
@@ -190,7 +190,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Links are counted where they are found, never listed; each is counted in the first band in which its sets meet.
     """
     bands = bands or bands_for(similarity, rows)
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), row_key(docs[id_col], docs[text_col]).alias("row_key"))
     signed = written(_sets(texts, n, Signer(bands, rows)), "ngram-signatures")
     total = signed.count()
     classes = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
@@ -207,7 +207,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     wanted = written(members.select("key").distinct().join(classes.select("key", "rep", "bands"), "key"), "ngram-wanted")
     maybe = Bitmap(wanted.select("rep"), wanted.count()).keep(texts, "id")
-    sets = _sets(maybe, n, None).join(wanted.select("key", F.col("rep").alias("id"), "bands"), ["key", "id"]).drop("id").dropDuplicates(["key"])
+    sets = _sets(maybe, n, None).join(wanted.select("key", F.col("rep").alias("id"), "bands"), ["key", "id"]).drop("id", "row_key").dropDuplicates(["key"])
     tasks = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select("band", "h", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     tasks = tasks.join(sets, "key").repartition("band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
@@ -243,12 +243,19 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = written(named, "ngram-named")
     per_root = named.where("root is not null").groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n"))
     named = join_groups(named, per_root, "root", "n", total).drop("n")
-    rows_ = join_groups(signed.select("id", "key"), named.drop("root"), "key", "copies", total)
+    rows_ = join_groups(signed.select("id", "row_key", "key"), named.drop("root"), "key", "copies", total)
     return rows_.select(
         F.col("id").alias(id_col), F.coalesce("class_id", "rep", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "row_key",
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each class of ngram_classes(), that of the least id; rows with equal ids and texts count as one."""
+    found = ngram_classes(docs, id_col, text_col, similarity).where("copies > 1 or n_links > 0")
+    members = found.select(F.col("row_key").alias("_key"), (F.col(id_col) == F.col("class_id")).alias("kept"))
+    return keep_one(docs, members, row_key(docs[id_col], docs[text_col]))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_classes(table(spark, sf_dir, "documents"))
+    return ngram_classes(table(spark, sf_dir, "documents")).drop("row_key")

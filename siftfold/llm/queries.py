@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siftfold.llm import exact_dedup, licenses, media, mixing, ngram_join, quality, sentencepiece_nbest, token_counts, toxicity
+from siftfold.llm import exact_dedup, licenses, lm_scoring, media, mixing, ngram_join, quality, sentencepiece_nbest, token_counts, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_nbest.op1_sentencepiece,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_token_counts": token_counts.op5_token_counts,

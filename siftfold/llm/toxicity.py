@@ -259,23 +259,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int
 _words: dict[str, _Words] = {}
 
 
-def score_toxicity(docs: DataFrame, model: TextCNN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with column ``toxicity`` (0 to 1), by the whole text alone; ``id_col`` and other columns pass through.
+def score_toxicity(docs: DataFrame, model: TextCNN, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1, higher: toxic likelier), by the whole text alone; other columns pass through.
 
     Null and empty texts are scored as a text without words. An empty table gives an empty result; repeated rows are
-    scored each. A column that is named toxicity already is replaced.
+    scored each. A column of that name is replaced.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # 8 MB: BUCKETS x DIM floats
-    docs = docs.drop("toxicity")
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         words = _Words(net)
         for batch in batches:
             scores = net.scores(pooled(net, words, text_of(batch, text_col)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -292,4 +292,4 @@ def reject_toxic(docs: DataFrame, model: TextCNN, lang_col: str = "lang") -> Dat
     cut = F.lit(model.thresholds.get(None, CUT))
     for lang, c in sorted((k, v) for k, v in model.thresholds.items() if k is not None):
         cut = F.when(F.col(lang_col) == lang, F.lit(c)).otherwise(cut) if lang_col in docs.columns else cut
-    return score_toxicity(docs, model).where(F.col("toxicity") < cut).select(*docs.columns)
+    return score_toxicity(docs, model, name="_toxicity").where(F.col("_toxicity") < cut).select(*docs.columns)
