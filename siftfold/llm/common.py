@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,13 @@ def by_bytes(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def slices(batch: pa.RecordBatch, most: int = 2 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about ``most`` bytes; a longer text is alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
+    for a, b in by_bytes(sizes, most):
+        yield batch.slice(a, b - a)
+
+
 def tokenizer_path(name: str) -> str:
     """A path as it is; a bare file name is one of the installed public tokenizer files."""
     if os.path.sep in name:

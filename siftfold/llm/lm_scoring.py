@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import bucket_of, by_bytes, table, text_of, written
+from siftfold.llm.common import bucket_of, slices, table, text_of, written
 
 #: Words with classes of their own (with the end), classes of the others, embedding size, tokens of context.
 OWN, SHARED, DIM, CONTEXT = 128, 128, 16, 6
@@ -143,8 +143,8 @@ def _counted(docs: DataFrame, most: int = 200_000) -> DataFrame:
             seen.clear()
             return out
 
-        for batch in batches:
-            for t in text_of(batch):
+        for part in (part for batch in batches for part in slices(batch)):
+            for t in text_of(part):
                 seen.update(tokens_of(t))
                 if len(seen) > most:
                     yield flush()
@@ -239,14 +239,12 @@ def train(docs: DataFrame, stats: Statistics, least: int = 1_000_000, passes: in
                 if valid[a + CONTEXT : b].any():
                     trainer.step(classes[a:b], valid[a:b])
 
-        for batch in batches:
-            texts = text_of(batch)
-            for a, b in by_bytes([len(x) for x in texts], 4 << 20):
-                classes, rows, _, _ = _batches(texts[a:b], row, ids)
-                learn(classes)
-                seen += len(rows)
-                if seen < least:
-                    kept.append(classes)
+        for part in (part for batch in batches for part in slices(batch)):
+            classes, rows, _, _ = _batches(text_of(part), row, ids)
+            learn(classes)
+            seen += len(rows)
+            if seen < least:
+                kept.append(classes)
         for _ in range(min(passes, -(-least // seen)) - 1 if seen else 0):
             for classes in kept:
                 learn(classes)
@@ -285,34 +283,32 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         model, f = sent.value
         names = ["uid", "word", "id", "held_out", "times", "n_tokens", "n_known", "base", "score"]
         known = len(f.row)
-        for batch in batches:
-            texts = text_of(batch)
-            for a, b in by_bytes([len(x) for x in texts], 2 << 20):
-                classes, rows, tokens, at = _batches(texts[a:b], f.row, f.ids)
-                lp = model.log_probabilities(classes)[at - CONTEXT] / np.log(10)
-                common = rows < known
-                within = np.where(common, f.within[np.where(common, rows, 0)], 0.0)
-                base = np.where(common, f.base[np.where(common, rows, 0)], 0.0)
-                size = np.array([len(t) for t in tokens])
-                starts = np.cumsum(size) - size
-                uid, ids, held = (batch.column(c).slice(a, b - a) for c in ("uid", "id", "held_out"))
-                sums = [np.add.reduceat(x, starts) for x in (base, lp + within)]
-                ends = np.add.reduceat(common.astype(np.int64), starts)
-                marks = [b"\n" + str(u).encode() for u in uid.to_pylist()]
-                k = len(tokens)
-                yield pa.RecordBatch.from_arrays([uid, pa.array(marks, pa.binary()), ids, held, pa.nulls(k, pa.int64()), pa.array(size, pa.int64()), pa.array(ends, pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names=names)
-                uids, words, times = [], [], []
-                rare = np.flatnonzero(~common)
-                cut = np.searchsorted(rare, np.append(starts, len(rows)))
-                for i, (u, t) in enumerate(zip(uid.to_pylist(), tokens, strict=True)):
-                    if cut[i] < cut[i + 1]:
-                        seen = Counter(t[r] for r in (rare[cut[i] : cut[i + 1]] - starts[i]).tolist())
-                        uids += [u] * len(seen)
-                        words += seen
-                        times += seen.values()
-                if words:
-                    m = len(words)
-                    yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(words, pa.binary()), pa.nulls(m, ids.type), pa.nulls(m, pa.bool_()), pa.array(times, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=names)
+        for part in (part for batch in batches for part in slices(batch)):
+            classes, rows, tokens, at = _batches(text_of(part), f.row, f.ids)
+            lp = model.log_probabilities(classes)[at - CONTEXT] / np.log(10)
+            common = rows < known
+            within = np.where(common, f.within[np.where(common, rows, 0)], 0.0)
+            base = np.where(common, f.base[np.where(common, rows, 0)], 0.0)
+            size = np.array([len(t) for t in tokens])
+            starts = np.cumsum(size) - size
+            uid, ids, held = (part.column(c) for c in ("uid", "id", "held_out"))
+            sums = [np.add.reduceat(x, starts) for x in (base, lp + within)]
+            ends = np.add.reduceat(common.astype(np.int64), starts)
+            marks = [b"\n" + str(u).encode() for u in uid.to_pylist()]
+            k = len(tokens)
+            yield pa.RecordBatch.from_arrays([uid, pa.array(marks, pa.binary()), ids, held, pa.nulls(k, pa.int64()), pa.array(size, pa.int64()), pa.array(ends, pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names=names)
+            uids, words, times = [], [], []
+            rare = np.flatnonzero(~common)
+            cut = np.searchsorted(rare, np.append(starts, len(rows)))
+            for i, (u, t) in enumerate(zip(uid.to_pylist(), tokens, strict=True)):
+                if cut[i] < cut[i + 1]:
+                    seen = Counter(t[r] for r in (rare[cut[i] : cut[i + 1]] - starts[i]).tolist())
+                    uids += [u] * len(seen)
+                    words += seen
+                    times += seen.values()
+            if words:
+                m = len(words)
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(words, pa.binary()), pa.nulls(m, ids.type), pa.nulls(m, pa.bool_()), pa.array(times, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=names)
 
     schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("times", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
     parts = rows.select(F.monotonically_increasing_id().alias("uid"), "id", "text", "held_out").mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from siftfold.llm.common import by_bytes, table, text_of
+from siftfold.llm.common import slices, table, text_of
 
 #: Samples of a hop; a window is two hops, and a payload is a whole number of hops.
 HOP = 192
@@ -42,8 +42,9 @@ def from_wav(stored: bytes) -> bytes:
 
 
 def peaks(payload: bytes) -> np.ndarray:
-    """The bin of the strongest peak of each frame of the short-time Fourier transform; bins 0 to 2 (mean level) don't count."""
-    signal = np.frombuffer(payload, np.uint8).astype(np.float32) - 128
+    """The bin of the strongest peak of each frame of the short-time Fourier transform; the mean is taken out first, and bins 0 to 2 don't count."""
+    signal = np.frombuffer(payload, np.uint8).astype(np.float32)
+    signal -= np.float32(signal.mean(dtype=np.float64))
     signal = np.concatenate([signal, np.zeros(HOP, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(signal, 2 * HOP)[::HOP]
     out = []
@@ -94,13 +95,9 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_of(batch)
-            for a, b in by_bytes([len(x) for x in texts], 4 << 20):
-                columns = zip(*map(_row, texts[a:b]), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), *(pa.array(list(c), k) for c, k in zip(columns, _KINDS, strict=True))], names=[id_col, *_NAMES]
-                )
+        for part in (part for batch in batches for part in slices(batch)):
+            columns = zip(*map(_row, text_of(part)), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(list(c), k) for c, k in zip(columns, _KINDS, strict=True))], names=[id_col, *_NAMES])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, peak_times array<int>, pair_codes array<int>"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import Bitmap, components, join_groups, keep_one, row_key, table, text_of, written
+from siftfold.llm.common import Bitmap, components, join_groups, keep_one, row_key, slices, table, text_of, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: The target for the share of pairs at the least similarity that meet in a band.
@@ -100,7 +100,7 @@ def _sets(docs: DataFrame, n: int, signer: Signer | None) -> DataFrame:
     """id, key (of the n-gram set; null without words), grams: their number or, without a signer, the sets; bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keys, grams, bands = [], [], []
             for t in text_of(batch):
                 g = ngrams(t, n)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import bucket_of, table, text_of
+from siftfold.llm.common import bucket_of, slices, table, text_of
 
 #: Bounds of the labelled rows that are broadcast as vectors, and of characters of a text among them.
 SAMPLE, SAMPLE_CHARS = 4000, 100_000
@@ -110,7 +110,7 @@ def score_quality(docs: DataFrame, model: Neighbours, text_col: str = "text") ->
     docs = docs.drop("quality_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, name=text_col)):
             votes = sent.value.vote(text_of(batch, text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes, pa.float64())], names=[*batch.schema.names, "quality_score"])
 

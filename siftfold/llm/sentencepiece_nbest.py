@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from siftfold.llm.common import by_bytes, table, text_of, tokenizer_path
+from siftfold.llm.common import slices, table, text_of, tokenizer_path
 
 SPACE = "▁"
 #: Words of more characters are searched by themselves, and not remembered.
@@ -81,7 +81,7 @@ class PieceHash:
 class Lattices:
     """Pieces of a model, and the searches over their lattices."""
 
-    def __init__(self, model_file: str, remember: int = 400_000):
+    def __init__(self, model_file: str, remember: int = 200_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -314,7 +314,7 @@ class Lattices:
             for w in self.later:
                 del self.row[w]
             self.n, self.n_flat, self.later = self.kept[0], self.kept[1], []
-        if len(self.alternatives) > self.remember // 8:
+        if len(self.alternatives) > self.remember // 40:
             self.alternatives.clear()
         row = self.row
         new = [w for w in set().union(*texts) if w not in row]
@@ -423,18 +423,16 @@ def encode_nbest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(model)
-        for batch in batches:
-            texts = text_of(batch)
-            for a, b in by_bytes([len(x) for x in texts], 4 << 20):
-                rows = []
-                for t, (ids, score, best) in zip(texts[a:b], lat.batch(texts[a:b], n), strict=True):
-                    same = lat.decode(ids) == t.replace(SPACE, " ")
-                    rows.append((len(ids), score, best, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), same, ids))
-                cols = list(zip(*rows, strict=True))
-                arrays = [batch.column("id").slice(a, b - a), *(pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.bool_()), strict=False))]
-                if with_ids:
-                    arrays.append(pa.array(list(cols[5]), pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        for part in (part for batch in batches for part in slices(batch, 1 << 20)):
+            texts, rows = text_of(part), []
+            for t, (ids, score, best) in zip(texts, lat.batch(texts, n), strict=True):
+                same = lat.decode(ids) == t.replace(SPACE, " ")
+                rows.append((len(ids), score, best, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), same, ids))
+            cols = list(zip(*rows, strict=True))
+            arrays = [part.column("id"), *(pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.bool_()), strict=False))]
+            if with_ids:
+                arrays.append(pa.array(list(cols[5]), pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_pieces", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("nbest_scores", T.ArrayType(T.DoubleType())), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
     if with_ids:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from siftfold.llm.common import by_bytes, table, text_of, tokenizer_path
+from siftfold.llm.common import by_bytes, slices, table, text_of, tokenizer_path
 
 #: A stretch from one safe boundary to the next. No pre-token of the byte-level pattern holds white space after
 #: anything else, so each change from non-space to a space or line feed is a boundary that no merge crosses.
@@ -65,7 +65,7 @@ def count_tokens(
     text_col: str = "text",
     tokenizer: str = "byte_bpe_50k.json",
     limit: int = 1024,
-    batch_bytes: int = 4 << 20,
+    batch_bytes: int = 2 << 20,
     remember: int = 300_000,
 ) -> DataFrame:
     """A row per row of ``docs``: its id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
@@ -80,12 +80,10 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (tokenizer, remember)
         counter = _counters.get(key) or _counters.setdefault(key, _Counter(tokenizer_path(tokenizer), remember))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, batch_bytes)):
             texts = text_of(batch)
             sizes = [len(x.encode()) for x in texts]
-            n: list[int] = []
-            for a, b in by_bytes(sizes, batch_bytes):
-                n += counter.count(texts[a:b])
+            n = counter.count(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],

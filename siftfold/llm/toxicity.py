@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import bucket_of, table, text_of
+from siftfold.llm.common import bucket_of, slices, table, text_of
 
 #: Bounds of the training sample: labelled rows, and characters of a text that may be in it.
 SAMPLE, SAMPLE_CHARS = 4000, 100_000
@@ -75,7 +75,7 @@ class TextCNN:
 class _Words:
     """Remembers tokens' rows of an embedding table; a worker has one for each model."""
 
-    def __init__(self, model: TextCNN, remember: int = 250_000):
+    def __init__(self, model: TextCNN, remember: int = 150_000):
         self.model, self.remember = model, remember
         self._clear()
 
@@ -103,9 +103,11 @@ class _Words:
         return self.rows[np.array(ids, np.int64)]
 
 
-def _pieces(text: str) -> list[list[str]]:
+def _pieces(text: str) -> list[tuple[list[str], int]]:
+    """Words, and how many of them begin windows: the last of a piece are there for the windows of those before."""
     tokens = text.split() or [""]
-    return [tokens[i : i + _PIECE + _PAD] for i in range(0, max(1, len(tokens) - _PAD), _PIECE)]
+    starts = range(0, max(1, len(tokens) - _PAD), _PIECE)
+    return [(tokens[i : i + _PIECE + _PAD], len(tokens) - i if i == starts[-1] else _PIECE) for i in starts]
 
 
 def pooled(model: TextCNN, words: _Words, texts: list[str], most: int = 150_000) -> np.ndarray:
@@ -113,21 +115,23 @@ def pooled(model: TextCNN, words: _Words, texts: list[str], most: int = 150_000)
     out = np.full((len(texts), len(model.out)), -np.inf, np.float32)
     group: list[list[str]] = []
     owner: list[int] = []
+    begin: list[int] = []
     held = 0
 
     def flush() -> None:
-        nonlocal group, owner, held
+        nonlocal group, owner, begin, held
         if group:
             y = model.convolved(words.embedded([*group, []]))
             starts = np.cumsum([0] + [len(p) + _PAD for p in group])[:-1]
-            bounds = np.stack([starts, starts + [len(p) for p in group]], 1).ravel()
+            bounds = np.stack([starts, starts + begin], 1).ravel()
             best = np.maximum.reduceat(y, bounds, axis=0)[::2]
             np.maximum.at(out, owner, best)
-        group, owner, held = [], [], 0
+        group, owner, begin, held = [], [], [], 0
 
     for i, t in enumerate(texts):
-        for p in _pieces(t):
+        for p, n in _pieces(t):
             group.append(p)
+            begin.append(n)
             owner.append(i)
             held += len(p)
             if held > most:
@@ -273,7 +277,7 @@ def score_toxicity(docs: DataFrame, model: TextCNN, text_col: str = "text", name
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         words = _Words(net)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, name=text_col)):
             scores = net.scores(pooled(net, words, text_of(batch, text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
