@@ -77,6 +77,15 @@ def by_bytes(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def arrow_rows(df: DataFrame, most: int = 1000) -> DataFrame:
+    """``df``, for mapInArrow: the session's Arrow batches get ``most`` rows at most, as texts may be long; else each task
+    holds batches of 10,000 texts outside the heap. Where the setting is lower already it stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
 def slices(batch: pa.RecordBatch, most: int = 2 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have about ``most`` bytes; a longer text is alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import bucket_of, slices, table, text_of, written
+from siftfold.llm.common import arrow_rows, bucket_of, slices, table, text_of, written
 
 #: Words with classes of their own (with the end), classes of the others, embedding size, tokens of context.
 OWN, SHARED, DIM, CONTEXT = 128, 128, 16, 6
@@ -150,7 +150,7 @@ def _counted(docs: DataFrame, most: int = 200_000) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return arrow_rows(docs.select("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -252,7 +252,7 @@ def train(docs: DataFrame, stats: Statistics, least: int = 1_000_000, passes: in
             v = model.vector().astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v) + 1), pa.int32()), pa.array(np.append(v, float(seen)), pa.float64())], names=["slot", "value"])
 
-    got = docs.select("text").mapInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas().sort_values("slot")
+    got = arrow_rows(docs.select("text")).mapInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas().sort_values("slot")
     sent.unpersist()
     if not len(got):
         return start
@@ -311,7 +311,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(words, pa.binary()), pa.nulls(m, ids.type), pa.nulls(m, pa.bool_()), pa.array(times, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=names)
 
     schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("times", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    parts = rows.select(F.monotonically_increasing_id().alias("uid"), "id", "text", "held_out").mapInArrow(run, schema)
+    parts = arrow_rows(rows.select(F.monotonically_increasing_id().alias("uid"), "id", "text", "held_out")).mapInArrow(run, schema)
     joined = parts.join(counts.select("word", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0)) + F.lit(0.5)
     k = (F.pmod(F.crc32(F.substring(F.col("word"), -3, 3)), F.lit(SHARED)) + 1).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import Bitmap, components, join_groups, keep_one, row_key, slices, table, text_of, written
+from siftfold.llm.common import arrow_rows, components, join_groups, keep_one, row_key, slices, table, text_of, written, Bitmap
 
 WORDS, SIMILARITY = 5, 0.8
 #: The target for the share of pairs at the least similarity that meet in a band.
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, n: int, signer: Signer | None) -> DataFrame:
     fields = [docs.schema["id"], docs.schema["row_key"], T.StructField("key", T.BinaryType()), T.StructField("grams", T.LongType() if signer else T.ArrayType(T.LongType()))]
     if signer:
         fields.append(T.StructField("bands", T.ArrayType(T.LongType())))
-    return docs.mapInArrow(run, T.StructType(fields))
+    return arrow_rows(docs).mapInArrow(run, T.StructType(fields))
 
 
 def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -236,7 +236,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out += _compare(at[0], similarity, left, right)
         yield batch()
 
-    found = written(tasks.mapInArrow(run, "key binary, links long, root binary"), "ngram-links")
+    found = written(arrow_rows(tasks).mapInArrow(run, "key binary, links long, root binary"), "ngram-links")
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = classes.select("key", "rep", "copies").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").join(links, "key", "left")

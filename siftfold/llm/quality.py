@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import bucket_of, slices, table, text_of
+from siftfold.llm.common import arrow_rows, bucket_of, slices, table, text_of
 
 #: Bounds of the labelled rows that are broadcast as vectors, and of characters of a text among them.
 SAMPLE, SAMPLE_CHARS = 4000, 100_000
@@ -114,7 +114,7 @@ def score_quality(docs: DataFrame, model: Neighbours, text_col: str = "text") ->
             votes = sent.value.vote(text_of(batch, text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes, pa.float64())], names=[*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return arrow_rows(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from siftfold.llm.common import slices, table, text_of, tokenizer_path
+from siftfold.llm.common import arrow_rows, slices, table, text_of, tokenizer_path
 
 SPACE = "▁"
 #: Words of more characters are searched by themselves, and not remembered.
@@ -81,7 +81,7 @@ class PieceHash:
 class Lattices:
     """Pieces of a model, and the searches over their lattices."""
 
-    def __init__(self, model_file: str, remember: int = 200_000):
+    def __init__(self, model_file: str, remember: int = 150_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -438,7 +438,7 @@ def encode_nbest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     schema = T.StructType(fields)
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return arrow_rows(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).mapInArrow(run, schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

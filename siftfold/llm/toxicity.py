@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import bucket_of, slices, table, text_of
+from siftfold.llm.common import arrow_rows, bucket_of, slices, table, text_of
 
 #: Bounds of the training sample: labelled rows, and characters of a text that may be in it.
 SAMPLE, SAMPLE_CHARS = 4000, 100_000
@@ -281,7 +281,7 @@ def score_toxicity(docs: DataFrame, model: TextCNN, text_col: str = "text", name
             scores = net.scores(pooled(net, words, text_of(batch, text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return arrow_rows(docs).mapInArrow(run, schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
