@@ -76,7 +76,7 @@ class LogBilinear:
             q += self.context[ids[CONTEXT - 1 - j : CONTEXT - 1 - j + n]] * self.weight[j]
         return q
 
-    def log_probabilities(self, ids: np.ndarray, block: int = 8192) -> np.ndarray:
+    def log_probabilities(self, ids: np.ndarray, block: int = 2048) -> np.ndarray:
         """Natural, normalised, of the class of each token after the first CONTEXT."""
         n = len(ids) - CONTEXT
         out = np.empty(n, np.float64)
