@@ -52,7 +52,7 @@ def exact_dedup(
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts are copies of
     each other. Of equal texts the row with the smallest (or largest) id stays; where several rows have that id, all of
-    them do. Ids must not be null. Equal digests are no more than candidates: the bytes of all hits are compared, and
+    them do. A null id is never that id, unless all of them are null. Equal digests are no more than candidates: the bytes of all hits are compared, and
     digests that several texts share are resolved by the texts. Other columns are not read; an empty table gives an
     empty result. ``digest`` gives hexadecimal digits, for tests of collisions.
     """

@@ -183,7 +183,8 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``copies`` is the number of rows with the same set of n-grams of words (after lower-casing A-Z), ``n_links`` the number
     of other sets with a Jaccard similarity of ``similarity`` or more, and ``class_id`` the least id of all rows that copies
     and links connect. Shorter texts have one n-gram, of all their words; texts without words (null, empty) have no copies
-    or links. Rows with equal ids stay rows of their own. Ids must not be null. An empty table gives an empty result.
+    or links. Rows with equal ids stay rows of their own. A null id is
+    never the least: a class without any other has a null class_id. An empty table gives an empty result.
 
     A pair at the least similarity meets in a band with a probability of RECALL; pairs that meet are checked on their full
     sets, and no bucket is cut off: buckets of over ``block`` sets are compared as pairs of blocks, in tasks of their own.
@@ -193,7 +194,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), row_key(docs[id_col], docs[text_col]).alias("row_key"))
     signed = written(_sets(texts, n, Signer(bands, rows)), "ngram-signatures")
     total = signed.count()
-    classes = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    classes = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.min("row_key").alias("rep_row"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     classes = written(classes, "ngram-classes")
 
     held = classes.select("key", F.posexplode("bands").alias("band", "h"))
@@ -205,9 +206,9 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = F.ceil(F.col("n") / block).cast("int")
     members = written(members.select("band", "h", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("mine")), "ngram-members")
 
-    wanted = written(members.select("key").distinct().join(classes.select("key", "rep", "bands"), "key"), "ngram-wanted")
-    maybe = Bitmap(wanted.select("rep"), wanted.count()).keep(texts, "id")
-    sets = _sets(maybe, n, None).join(wanted.select("key", F.col("rep").alias("id"), "bands"), ["key", "id"]).drop("id", "row_key").dropDuplicates(["key"])
+    wanted = written(members.select("key").distinct().join(classes.select("key", "rep_row", "bands"), "key"), "ngram-wanted")
+    maybe = Bitmap(wanted.select("rep_row"), wanted.count()).keep(texts, "row_key")
+    sets = _sets(maybe, n, None).join(wanted.select("key", F.col("rep_row").alias("row_key"), "bands"), ["key", "row_key"]).drop("id", "row_key").dropDuplicates(["key"])
     tasks = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select("band", "h", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     tasks = tasks.join(sets, "key").repartition("band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
@@ -251,9 +252,9 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class of ngram_classes(), that of the least id; rows with equal ids and texts count as one."""
+    """``docs`` with one row of each class of ngram_classes(), that of the least id; rows with equal ids and texts count as one. Of a class without ids each text stays."""
     found = ngram_classes(docs, id_col, text_col, similarity).where("copies > 1 or n_links > 0")
-    members = found.select(F.col("row_key").alias("_key"), (F.col(id_col) == F.col("class_id")).alias("kept"))
+    members = found.select(F.col("row_key").alias("_key"), F.col(id_col).eqNullSafe(F.col("class_id")).alias("kept"))
     return keep_one(docs, members, row_key(docs[id_col], docs[text_col]))
 
 

@@ -226,6 +226,18 @@ def test_ngram_join(spark, many, block):
     assert kept == {c for c, _, _ in brute_classes(texts).values()}
 
 
+def test_null_ids_keep_their_links(spark):
+    base = [f"v{k}" for k in range(80)]
+    near = " ".join([*base[:-1], "other"])
+    d = docs(spark, [" ".join(base), near, " ".join(base), "alone"], [None, 7, None, None])
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.copies, r.n_links) for r in ngram_join.ngram_classes(d).collect())
+    assert got == [(-1, -1, 1, 0), (-1, 7, 2, 1), (-1, 7, 2, 1), (7, 7, 1, 1)]
+    assert sorted((r.doc_id or -1, r.text) for r in ngram_join.keep_first(d).collect()) == [(-1, "alone"), (7, near)]
+    assert ngram_join.keep_first(d.where("doc_id is null")).count() == 2
+    exact = sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in exact_dedup.exact_dedup(d).collect())
+    assert exact == [(-1, -1, 1, True), (-1, -1, 2, True), (-1, -1, 2, True), (7, 7, 1, True)]
+
+
 def test_bands_reach_the_target():
     b = ngram_join.bands_for(0.8)
     assert 1 - (1 - 0.8**ngram_join.ROWS) ** b >= ngram_join.RECALL
