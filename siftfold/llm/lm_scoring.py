@@ -68,12 +68,12 @@ class LogBilinear:
             at += size
         return cls(*out)
 
-    def queries(self, ids: np.ndarray) -> np.ndarray:
-        """ids begins with CONTEXT tokens before the first that is predicted."""
-        n = len(ids) - CONTEXT
+    def queries(self, x: np.ndarray) -> np.ndarray:
+        """x: rows of ``context``, CONTEXT of them before the first token that is predicted."""
+        n = len(x) - CONTEXT
         q = np.zeros((n, DIM), np.float32)
         for j in range(CONTEXT):
-            q += self.context[ids[CONTEXT - 1 - j : CONTEXT - 1 - j + n]] * self.weight[j]
+            q += x[CONTEXT - 1 - j : CONTEXT - 1 - j + n] * self.weight[j]
         return q
 
     def log_probabilities(self, ids: np.ndarray, block: int = 2048) -> np.ndarray:
@@ -82,7 +82,7 @@ class LogBilinear:
         out = np.empty(n, np.float64)
         for a in range(0, n, block):
             b = min(n, a + block)
-            z = self.queries(ids[a : b + CONTEXT]) @ self.output.T
+            z = self.queries(self.context[ids[a : b + CONTEXT]]) @ self.output.T
             z += self.bias
             z -= z.max(axis=1, keepdims=True)
             own = z[np.arange(b - a), np.minimum(ids[a + CONTEXT : b + CONTEXT], OWN + SHARED - 1)].astype(np.float64)
@@ -108,7 +108,8 @@ class Trainer:
         m, n = self.m, len(ids) - CONTEXT
         target, live = np.minimum(ids[CONTEXT:], OWN + SHARED - 1), valid[CONTEXT:].astype(np.float32)
         total = max(float(live.sum()), 1.0)
-        q = m.queries(ids)
+        x = m.context[ids]
+        q = m.queries(x)
         noise = self.rng.choice(len(self.p), SHARED_NOISE, p=self.p)
         sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         pos = (q * m.output[target]).sum(axis=1) + m.bias[target] - self.log_kp[target]
@@ -121,11 +122,12 @@ class Trainer:
         g_bias = np.bincount(target, weights=d_pos, minlength=classes)
         np.add.at(g_bias, noise, d_neg.sum(axis=0))
         g_q = m.output[target] * d_pos[:, None] + d_neg @ m.output[noise]
-        g_ctx, g_w = np.zeros((classes + 1, DIM)), np.zeros((CONTEXT, DIM))
+        g_x, g_w = np.zeros_like(x), np.zeros((CONTEXT, DIM))
         for j in range(CONTEXT):
-            c = ids[CONTEXT - 1 - j : CONTEXT - 1 - j + n]
-            g_w[j] = (g_q * m.context[c]).sum(axis=0)
-            g_ctx += self._scatter(c, g_q * m.weight[j], classes + 1)
+            at = slice(CONTEXT - 1 - j, CONTEXT - 1 - j + n)
+            g_w[j] = np.einsum("ij,ij->j", g_q, x[at])
+            g_x[at] += g_q * m.weight[j]
+        g_ctx = self._scatter(ids, g_x, classes + 1)
         for x, s, g in zip((m.context, m.weight, m.output, m.bias), self.sums, (g_ctx, g_w, g_out, g_bias), strict=True):
             g = (g * 100).astype(np.float32)
             s += g * g
