@@ -84,9 +84,10 @@ class Mix:
             sums = sums.withColumn("upto", upto).join(plan.select("skey", F.col("before").alias("base"), "rest"), "skey")
             first = F.when(F.col("base") + F.col("upto") > F.col("rest"), F.col("sub"))
             found = sums.groupBy("skey").agg(F.min(first).alias("sub"), F.max("sub").alias("last"), F.min_by(F.col("base") + F.col("upto") - F.col("n"), first).alias("base"), F.max(F.col("base") + F.col("upto")).alias("full"))
-            # where the rest holds all rows, the edge is after the last range
-            edges = found.select("skey", F.coalesce("sub", F.col("last") + 1).alias("edge"), F.coalesce("base", "full").alias("before"))
-            plan = written(plan.drop("before", "edge").join(edges, "skey"), "mix-edges")
+            # where the rest holds all rows, as in a source without words, the edge is after the last range, and stays there
+            edges = found.select("skey", F.coalesce("sub", F.col("last") + 1).alias("finer"), F.coalesce("base", "full").alias("upto"))
+            plan = plan.join(edges, "skey", "left").withColumn("edge", F.coalesce("finer", F.col("edge") * fanout)).withColumn("before", F.coalesce("upto", "before"))
+            plan = written(plan.drop("finer", "upto"), "mix-edges")
         self.plan = plan.select(*(F.col(c).alias("_" + c) for c in plan.columns))
 
     def decided(self, columns: list[str]) -> DataFrame:

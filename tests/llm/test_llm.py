@@ -90,6 +90,17 @@ def test_mixing(spark):
     assert mixing.mixed(d).groupBy("doc_id").count().where("count > 2").count() == 0 and mixing.mixed(d).columns == d.columns
 
 
+@pytest.mark.parametrize("texts", [["one two three", "", None] * 4, ["", None, "one two three"] * 4, [" ", "", None] * 2])
+def test_mixing_without_words(spark, texts):
+    d = docs(spark, texts)
+    rows = {r.doc_id: r for r in mixing.mix_plan(d).collect()}
+    assert len(rows) == len(texts) and all(rows[i].size == len((t or "").split()) for i, t in enumerate(texts))
+    assert all((r.times, r.taken) == (0, 0) for r in rows.values() if r.size == 0)
+    total = sum(r.size for r in rows.values())
+    assert all(r.source_size == total and abs(r.target - 1.5 * total) < 1e-9 for r in rows.values() if r.size)
+    assert abs(sum(r.taken for r in rows.values()) - 1.5 * total) <= 1.5
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
