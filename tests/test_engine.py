@@ -1,4 +1,5 @@
 import csv
+import hashlib
 import json
 import math
 import os
@@ -104,6 +105,17 @@ def test_similarity_and_leaders(spark):
     assert math.isclose(sum(f.frequency_distribution), 1)
 
 
+def test_fingerprints_of_long_documents(spark, tmp_path):
+    from siftfold import catalog
+
+    texts = [None, "", "short", "a" * 65_536, "a" * 65_537, "é" * 40_000, "x" + "é" * 40_000]  # the last is cut within a character
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.fingerprint for r in catalog.q_fingerprint16(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256((t or "").encode()[:65_536]).hexdigest()[:32].upper() for i, t in enumerate(texts)}
+    assert got[3] == got[4]
+
+
 def test_leader_clusters_equal_greedy(spark):
     rng = np.random.default_rng(3)
     n = 30
