@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,9 +25,9 @@ from siftfold.llm.common import arrow_rows, slices, table, text_of, tokenizer_pa
 SPACE = "▁"
 #: Words of more characters are searched by themselves, and not remembered.
 _LONG = 64
-#: Characters of a word that are searched in one lattice; a longer run without white space is cut there, the one
-#: place where the best segmentation may differ from that of the whole.
-LATTICE = 100_000
+#: Words of more characters are parted where no piece crosses, into parts of PART characters or more; a part that is
+#: still longer is searched whole, by forward search alone.
+LATTICE, PART = 100_000, 32
 N_BEST = 4
 _P, _K = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -243,6 +244,62 @@ class Lattices:
             best[j], by[j] = top, edge
         return best, by
 
+    def parts(self, w: str) -> Iterator[str]:
+        """A word, parted at places that no piece crosses: each of its segmentations parts there too, so none is lost."""
+        piece, prefixes, n = self.piece, self.prefixes, len(w)
+        start = reach = 0
+        for i in range(n):
+            if reach <= i and i - start >= PART:
+                yield w[start:i]
+                start = i
+            for j in range(i + 1, n + 1):
+                s = w[i:j]
+                if s not in prefixes:
+                    break
+                if j > reach and s in piece:
+                    reach = j
+        yield w[start:]
+
+    def nbest_forward(self, w: str, n: int) -> list[tuple[float, array]]:
+        """As nbest(), for long runs: Viterbi search for the n best paths to each place, of equal ones as forward() has it.
+
+        Scores and open paths are kept for a window of the longest piece; of each path to a place only the size of its
+        last piece and the rank of the path before it, four bytes.
+        """
+        piece, prefixes, end = self.piece, self.prefixes, len(w)
+        width = self.hashes.longest + 1
+        into: list[list[tuple[float, int, int]]] = [[] for _ in range(width)]  # by place, modulo the width: (-score, start, rank)
+        sizes, ranks = array("H", bytes(2 * n * (end + 1))), array("H", bytes(2 * n * (end + 1)))
+        found = [(0.0, 0, 0)]
+        for i in range(end + 1):
+            if i:
+                found = sorted(into[i % width])[:n]
+                into[i % width] = []
+                for k, (_, start, rank) in enumerate(found):
+                    sizes[i * n + k], ranks[i * n + k] = i - start, rank
+            alone = i == end
+            for j in range(i + 1, min(i + width, end + 1)):
+                s = w[i:j]
+                if s not in prefixes:
+                    break
+                if s in piece:
+                    x = piece[s][1]
+                    into[j % width] += [(f[0] - x, i, k) for k, f in enumerate(found)]
+                    alone |= j == i + 1
+            if not alone:
+                into[(i + 1) % width] += [(f[0] - self.fallback, i, k) for k, f in enumerate(found)]
+        out = []
+        for k, (score, _, _) in enumerate(found):
+            ids, at, rank = array("i"), end, k
+            while at:
+                start, rank = at - sizes[at * n + rank], ranks[at * n + rank]
+                s = w[start:at]
+                ids.extend(reversed(self._ids(w, start, piece[s][0] if s in piece else -1)))
+                at = start
+            ids.reverse()
+            out.append((-score, ids))
+        return out
+
     def nbest(self, w: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of one word or text without inner words, best first: (score, ids).
 
@@ -250,6 +307,8 @@ class Lattices:
         score of where it starts, which is exactly the best that its completion can reach, so hypotheses leave the queue
         complete in order of score.
         """
+        if len(w) > LATTICE:
+            return self.nbest_forward(w, n)
         into = self.edges(w)
         best, _ = self.forward(into)
         heap, out, tie = [(-best[-1], 0, len(w), 0.0, None)], [], 0
@@ -263,12 +322,15 @@ class Lattices:
                 out.append((score, ids))
                 continue
             for start, id_, s in sorted(into[at]):
-                tie += 1
+                tie -= 1  # of equal hypotheses the newest first: oldest first, a run of one letter would open all its equal paths
                 heapq.heappush(heap, (-(score + s + best[start]), tie, start, score + s, (start, id_, path)))
         return out
 
     def word(self, w: str) -> tuple[list[int], float, float]:
         """Ids and score of the best segmentation, and the gap to the second best."""
+        if len(w) > LATTICE:
+            (top, ids), *other = self.nbest_forward(w, 2)
+            return ids, top, top - other[0][0] if other else float("inf")
         into = self.edges(w)
         best, by = self.forward(into)
         n = len(w)
@@ -305,7 +367,7 @@ class Lattices:
             return []
         found = self.cut.findall(SPACE + text.replace(" ", SPACE))
         if len(text) > LATTICE and max(map(len, found)) > LATTICE:
-            found = [w[i : i + LATTICE] for w in found for i in range(0, len(w), LATTICE)]
+            found = [p for w in found for p in (self.parts(w) if len(w) > LATTICE else [w])]
         return found
 
     def rows(self, texts: list[list[str]]) -> np.ndarray:

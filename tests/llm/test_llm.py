@@ -189,6 +189,36 @@ def test_sentencepiece():
         assert lat.decode(lat.encode(t or "")) == (t or "")
 
 
+def test_sentencepiece_long_runs(monkeypatch):
+    lat = sentencepiece_nbest.Lattices(sentencepiece_nbest.tokenizer_path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(5)
+    runs = ["".join(rng.choice(list("etaoinshr"), 600)), "thation" * 90, "".join(rng.choice(list("QZ9xeé日本"), 600)), "日本語" * 200, "▁" * 400, "e" * 333 + " of " + "tion" * 99, "a" * 700]
+    for t in runs:
+        found = []
+        for lattice in (10**6, 100):
+            monkeypatch.setattr(sentencepiece_nbest, "LATTICE", lattice)
+            lat._clear()
+            lat.alternatives.clear()
+            found.append(([s for s, _ in lat.nbest_text(t, 4)], next(lat.batch([t], 4))[2], lat.encode(t)))
+        assert found[0] == found[1] and found[0][0] == found[0][1], t[:20]
+        assert lat.decode(found[1][2]) == t.replace("▁", " ") and sum(_score(lat, found[1][2])) == found[1][0][0]
+        got = lat.nbest_forward(t[:150], 4)
+        assert len({tuple(ids) for _, ids in got}) == len(got) and all(sum(_score(lat, ids)) == s for s, ids in got)
+
+
+def _score(lat, ids):
+    """Of the pieces; bytes come in whole characters, which cost the fallback each."""
+    held = bytearray()
+    for i in ids:
+        if isinstance(lat.text[i], int):
+            held.append(lat.text[i])
+            continue
+        yield from (lat.fallback for _ in held.decode())
+        held.clear()
+        yield lat.piece[lat.text[i]][1]
+    yield from (lat.fallback for _ in held.decode())
+
+
 def test_sentencepiece_query(spark):
     rows = {r.doc_id: r for r in sentencepiece_nbest.encode_nbest(docs(spark)).collect()}
     assert all(r.round_trip and r.n_pieces == len(r.ids) and r.nbest_scores[0] == r.score for r in rows.values())
