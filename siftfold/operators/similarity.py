@@ -31,11 +31,12 @@ def similar_pairs(prints: DataFrame, threshold: float = 85.0) -> DataFrame:
     return pairs.select("id_a", "id_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def leader_clusters(ids: DataFrame, pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+def leader_clusters(ids: DataFrame, pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     """Greedy clusters by ascending id: id, leader. A row without a similar earlier leader leads; others join the earliest.
 
     Rounds settle rows whose earlier neighbours are settled: one with an earlier leader among them is a member, one
-    whose earlier neighbours all are members leads. The state is cut from its lineage each round.
+    whose earlier neighbours all are members leads. The state is cut from its lineage each round. Each round settles the
+    least open id at least, so rounds go on until none is open; with ``rounds``, rows open after so many are an error.
     """
     spark = ids.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -46,15 +47,20 @@ def leader_clusters(ids: DataFrame, pairs: DataFrame, rounds: int = 1000) -> Dat
     edges = pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("earlier")).checkpoint()
     state = ids.select("id").join(edges.select("id").distinct(), "id", "left_anti").select("id", F.lit("leader").alias("role")).checkpoint()
     open_ = edges.select("id").distinct().checkpoint()
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
+    done, parts = 0, max(state.rdd.getNumPartitions(), open_.rdd.getNumPartitions())
+    while not open_.isEmpty():
+        if done == rounds:
+            raise RuntimeError(f"rows without a cluster after {rounds} rounds")
         seen = open_.join(edges, "id").join(state.withColumnRenamed("id", "earlier"), "earlier", "left")
         led = F.max(F.coalesce(F.col("role") == "leader", F.lit(False)))
         settled = seen.groupBy("id").agg(led.alias("led"), F.min(F.coalesce(F.col("role") == "member", F.lit(False))).alias("free")).where("led or free")
         settled = settled.select("id", F.when(F.col("led"), "member").otherwise("leader").alias("role")).checkpoint()
-        state = state.unionByName(settled).checkpoint()
+        if settled.isEmpty():
+            raise ValueError("pairs with ids that are not among the rows")
+        # the union would have the more partitions the more rounds there are
+        state = state.unionByName(settled).coalesce(parts).checkpoint()
         open_ = open_.join(settled, "id", "left_anti").checkpoint()
+        done += 1
     leaders = state.where("role = 'leader'").select(F.col("id").alias("earlier"))
     first = edges.join(leaders, "earlier", "left_semi").groupBy("id").agg(F.min("earlier").alias("leader"))
     members = state.where("role = 'member'").join(first, "id").select("id", "leader")

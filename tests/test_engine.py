@@ -131,6 +131,16 @@ def test_leader_clusters_equal_greedy(spark):
     assert {r.id: r.leader for r in got.collect()} == leader
 
 
+def test_leader_clusters_lose_no_row(spark):
+    n = 8
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "id_a long, id_b long")  # a row is settled each round
+    assert {r.id: r.leader for r in similarity.leader_clusters(spark.range(n), chain).collect()} == {i: i - i % 2 for i in range(n)}
+    with pytest.raises(RuntimeError):
+        similarity.leader_clusters(spark.range(n), chain, rounds=3)
+    with pytest.raises(ValueError):
+        similarity.leader_clusters(spark.range(1, n), chain)
+
+
 def test_stages(spark):
     df = corpus(spark, [(1, b"same text here"), (2, b"same text here"), (3, b"other text her!"), (4, b"zz")])
     assert {r.disposition for r in pipeline.MetadataStage().apply(df).collect()} == {"duplicates"}
