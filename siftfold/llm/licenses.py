@@ -48,7 +48,63 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies."
     ),
+    "apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "gpl-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June",
+    "lgpl-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "mpl-2.0-title": "Mozilla Public License Version 2.0",
+    # The versions of the GNU notices: so short that neither the name nor the version of another one leaves CONTAINMENT.
+    "gpl-2.0-notice": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or",
+    "lgpl-2.1-notice": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or",
+    "lgpl-3.0-notice": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or",
+    "agpl-3.0-notice": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or",
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nd-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc0-1.0": (
+        "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator "
+        'and subsequent owner(s) (each and all, an "owner") of an original work of authorship and/or a database (each, a "Work").'
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "boost-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered "
+        'by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the '
+        "Software, and to permit third-parties to whom the Software is furnished to do so"
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+        "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
+        "and redistribute it freely, subject to the following restrictions"
+    ),
+    "bsd-disclaimer": (
+        "ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED. IN NO EVENT SHALL"
+    ),
+    "bsd-endorsement": "may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mit-disclaimer": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    ),
+    **{
+        f"spdx-{x.lower()}": f"SPDX-License-Identifier: {x}"
+        for x in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "BSL-1.0")
+    },
 }
+#: Notices of fewer words than a shingle: each is one shingle of all its words.
+SHORT_TEMPLATES = {"all-rights-reserved": "All rights reserved.", **{f"spdx-{x.lower()}": f"SPDX-License-Identifier: {x}" for x in ("MIT", "ISC", "Unlicense", "Zlib")}}
 
 
 def words_of(text: str) -> list[str]:
@@ -57,7 +113,9 @@ def words_of(text: str) -> list[str]:
 
 
 def _shingles(text: str, n: int) -> list[str]:
+    """Of a text of fewer words than ``n``, one of all its words."""
     w = words_of(text)
+    n = min(n, len(w)) or 1
     return list(dict.fromkeys(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)))
 
 
@@ -82,27 +140,30 @@ def scan_licenses(
     below the template's number of shingles, so each place that can hold the template lies within one window. Shingles of
     no template can't count for containment and are left out first: this only raises the similarity of a window with the
     templates it holds. ``containment`` of the result is that of the best window, ``first_word`` the place of its first
-    shingle of the template; ``row_no`` tells apart rows with equal ids. Null, empty and short texts (under ``n`` words)
-    have no rows; repeated rows are scanned each; other columns are not read; an empty table gives an empty result.
+    shingle of the template; ``row_no`` tells apart rows with equal ids. Templates of fewer
+    than ``n`` words are one shingle of all their words. Null and empty texts and those shorter than all templates' shingles have no rows; repeated rows are scanned each; other columns are not read; an empty table gives an empty result.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = {**TEMPLATES, **SHORT_TEMPLATES} if templates is None else templates
     spark = docs.sparkSession
     listed = [(name, s, 1 << max(0, len(sh) - 1).bit_length(), len(sh)) for name, t in templates.items() for sh in [_shingles(t, n)] for s in sh]
     if short := [name for name, t in templates.items() if not _shingles(t, n)]:
-        raise ValueError(f"templates of under {n} words: {short}")
+        raise ValueError(f"templates without words: {short}")
     if len(listed) > MOST_SHINGLES:
         raise ValueError(f"over {MOST_SHINGLES} shingles in all templates")
     ours = spark.createDataFrame(listed, "license_id string, shingle string, span int, shingles int")
     spans = sorted({x[2] for x in listed})
+    sizes = sorted({x[1].count(" ") + 1 for x in listed})
     minima = [F.min(F.xxhash64(F.lit(i), "shingle")).alias(f"m{i}") for i in range(bands)]
     banded = F.posexplode(F.array(*[f"m{i}" for i in range(bands)])).alias("band", "value")
     template_bands = ours.groupBy("license_id", "span", "shingles").agg(*minima).select("license_id", "span", "shingles", banded)
 
     words = F.split(F.lower(F.coalesce(docs[text_col], F.lit(""))), r"[^\p{L}\p{N}]+")
     rows = docs.select(docs[id_col].alias("id"), F.monotonically_increasing_id().alias("row_no"), F.array_remove(words, "").alias("words"))
-    rows = rows.where(F.arrays_overlap("words", F.array(*[F.lit(x) for x in sorted(anchors(templates, n))]))).where(F.size("words") >= n)
-    placed = rows.select("id", "row_no", "words", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("at"))
-    placed = placed.select("id", "row_no", F.col("at").cast("long").alias("at"), F.concat_ws(" ", F.slice("words", F.col("at") + 1, n)).alias("shingle"))
+    rows = rows.where(F.arrays_overlap("words", F.array(*[F.lit(x) for x in sorted(anchors(templates, n))]))).where(F.size("words") >= sizes[0])
+    placed = rows.select("id", "row_no", "words", F.explode(F.sequence(F.lit(0), F.size("words") - sizes[0])).alias("at"))
+    # a place near the end has no shingle of the larger sizes
+    at_place = F.array(*[F.when(F.col("at") + k <= F.size("words"), F.concat_ws(" ", F.slice("words", F.col("at") + 1, k))) for k in sizes])
+    placed = placed.select("id", "row_no", F.col("at").cast("long").alias("at"), F.explode(at_place).alias("shingle"))
     held = written(placed.join(F.broadcast(ours.select("shingle").distinct()), "shingle"), "license-shingles")
 
     first = F.floor(F.col("at") / F.col("span"))

@@ -161,6 +161,21 @@ def test_licenses(spark):
         assert got.get(i, {}) == pytest.approx(containments(t or "")), t
 
 
+def test_short_and_common_licenses(spark):
+    gnu = 'This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version.'
+    names = {"gpl-2.0-notice": ("program", "General Public License", "2"), "lgpl-2.1-notice": ("library", "Lesser General Public License", "2.1"), "lgpl-3.0-notice": ("library", "Lesser General Public License", "3"), "agpl-3.0-notice": ("program", "Affero General Public License", "3")}
+    texts = ["All rights reserved.", "one two all  RIGHTS\nreserved", "all rights", "(c) X. All rights reserved. SPDX-License-Identifier: MIT", "SPDX-License-Identifier: GPL-2.0-only", "under CC BY-SA 4.0", "Licensed under CC BY-SA 4.0.", *(gnu.format(*x) for x in names.values())]
+    got = {}
+    for r in licenses.scan_licenses(docs(spark, texts)).collect():
+        got.setdefault(r.doc_id, {})[r.license_id] = (r.containment, r.first_word)
+    assert got[0] == {"all-rights-reserved": (1, 0)} and got[1] == {"all-rights-reserved": (1, 2)} and not {2, 5} & set(got)
+    assert got[3] == {"all-rights-reserved": (1, 2), "spdx-mit": (1, 5)} and set(got[4]) == {"spdx-gpl-2.0"} and set(got[6]) == {"cc-by-sa-4.0-line"}
+    for i, name in enumerate(names, 7):
+        assert {x for x in got[i] if x.endswith("-notice")} == {name}, got[i]
+    only = licenses.scan_licenses(docs(spark, texts), templates={"x": "all rights"}).collect()
+    assert sorted(r.doc_id for r in only) == [0, 1, 2, 3]
+
+
 def test_sentencepiece():
     lat = sentencepiece_nbest.lattices("piece_bpe_32k.model")
 
