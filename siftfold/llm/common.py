@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,36 +11,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftfold.storage import scratch, written  # noqa: F401
+
 #: One token of the query contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_own_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one only where none is set (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="siftfold-")
-    return _own_dirs[app]
-
-
-def written(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    for k, v in options.items():
-        writer = writer.option(k, v)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one: beside it no name can clash with theirs. ``select("row.*")`` gives them back."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -61,6 +43,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def labelled(docs: DataFrame, labels: DataFrame, what: str, held_out: int, of: int, sample: int, id_col: str, text_col: str, lang_col: str | None = None) -> DataFrame:
+    """id, y, text, lang of at most ``sample`` labelled documents, written: the first by order of a hash of the id, one row an id.
+
+    Ids whose crc32 as text mod ``of`` is ``held_out`` are left out, so are null ids and null labels. Of several labels of an
+    id the largest counts, of several documents with an id the least text.
+    """
+    known = labels.select(labels[id_col].alias("id"), labels[what].cast("int").alias("y")).where("id is not null and y is not null")
+    known = known.where(bucket_of(F.col("id"), of) != held_out).groupBy("id").agg(F.max("y").alias("y"))
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), (docs[lang_col] if lang_col in docs.columns else F.lit(None).cast("string")).alias("lang"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # sample rows: a bounded broadcast
+    found = rows.join(F.broadcast(known), "id").groupBy("id").agg(F.max("y").alias("y"), F.min(F.struct("text", "lang")).alias("d"))
+    return written(found.select("id", "y", "d.text", "d.lang"), "labelled")
+
+
 def text_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
@@ -86,6 +82,11 @@ def arrow_rows(df: DataFrame, most: int = 1000) -> DataFrame:
     return df
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Columns named c0, c1 ...: mapInArrow takes no names with dots."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
 def slices(batch: pa.RecordBatch, most: int = 2 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have about ``most`` bytes; a longer text is alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
@@ -161,10 +162,10 @@ def keep_one(docs: DataFrame, members: DataFrame, key: Column) -> DataFrame:
     Only rows that a filter of the members' keys lets through are shuffled; the others stay where they are.
     """
     members = written(members.groupBy("_key").agg(F.max("kept").alias("kept")), "members")
-    keyed = docs.withColumn("_key", key)
+    keyed = docs.select(whole_row(docs).alias("row"), key.alias("_key"))
     filter_ = Bitmap(members.select("_key"), members.count())
     maybe = filter_.keep(keyed, "_key").join(members.where(~F.col("kept")).select("_key"), "_key", "left_anti").dropDuplicates(["_key"])
-    return filter_.leave(keyed, "_key").select(docs.columns).unionByName(maybe.select(docs.columns))
+    return filter_.leave(keyed, "_key").select("row").unionByName(maybe.select("row")).select("row.*")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

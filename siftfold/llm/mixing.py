@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftfold.llm.common import table, word_count, written
+from siftfold.llm.common import WORD, table, whole_row, word_count, written
 
 #: Characters that lower a document's quality weight by their share of its text.
 JUNK = "$%&*#!|"
@@ -53,24 +53,27 @@ class Mix:
     Sources, by code point and null last, weigh ``weights``, repeating; they share ``share`` times all words, none over
     ``most`` times its own. Complete epochs (all rows of a source) come first; the rest of the target goes to the
     documents of smallest key -ln(u) / quality weight, u uniform by a hash of the id, as long as each is more than half
-    within it, so a source misses its target by half a document at most. Documents without words take nothing. Equal
-    keys are ordered by id, then size. Repeated rows are mixed each. Reruns agree. An empty table gives an empty result.
+    within it, so a source misses its target by half a document at most. Documents without words (null, empty or blank)
+    take nothing, and a source or table of such documents alone has target 0. Texts count whole, however long. Equal
+    keys are ordered by id, then size; rows equal in these are alike, and any of them may be the last one taken. Repeated
+    rows are mixed each. Reruns agree. An empty table gives an empty result. Other columns may have any name.
 
     No task sees a whole source: where the rest ends is found among sums of ``fanout`` ranges of the key, refined
-    ``levels`` times, and only documents of the last range, one in fanout ** levels, are sorted.
+    ``levels`` times, and only documents of the last range, one in fanout ** levels, are sorted. Texts are read once for
+    sizes and keys, which are written as narrow rows.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0, fanout: int = FANOUT, levels: int = LEVELS):
-        self.docs = docs
+        self.docs, self.text = docs, docs[text_col]
         cells = fanout**levels
         key = -F.log(_uniform(docs[id_col], seed)) / quality_weight(docs[text_col])
         # The share of an exponential law below the key: as the key orders, and from 0 to 1.
         cell = F.least(F.floor((F.lit(1.0) - F.exp(-key)) * cells), F.lit(cells - 1)).cast("long")
         skey = F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("~"))
-        self.columns = {"_id": docs[id_col], "_size": word_count(docs[text_col]), "_key": key, "_cell": cell, "_skey": skey}
-        slim = docs.select(docs[source_col].alias("source"), *(c.alias(k[1:]) for k, c in self.columns.items() if k not in ("_id", "_key")))
+        self.placed = [docs[id_col].alias("id"), key.alias("key"), cell.alias("cell"), skey.alias("skey")]
+        self.rows = written(docs.select(*self.placed, word_count(docs[text_col]).alias("size"), docs[source_col].alias("source")), "mix-rows")
         # what is summed below: (source, range of the key), not documents
-        slim = written(slim.groupBy("skey", "cell").agg(F.sum("size").alias("size"), F.min("source").alias("source")), "mix-sizes")
+        slim = written(self.rows.groupBy("skey", "cell").agg(F.sum("size").alias("size"), F.min("source").alias("source")), "mix-sizes")
         sizes = slim.groupBy("skey").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
         plan = _targets(sizes, tuple(weights), share, most)
         epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -88,29 +91,33 @@ class Mix:
             edges = found.select("skey", F.coalesce("sub", F.col("last") + 1).alias("finer"), F.coalesce("base", "full").alias("upto"))
             plan = plan.join(edges, "skey", "left").withColumn("edge", F.coalesce("finer", F.col("edge") * fanout)).withColumn("before", F.coalesce("upto", "before"))
             plan = written(plan.drop("finer", "upto"), "mix-edges")
-        self.plan = plan.select(*(F.col(c).alias("_" + c) for c in plan.columns))
+        self.plan = plan
 
-    def decided(self, columns: list[str]) -> DataFrame:
-        """``columns`` of the documents with _id, _size, _source_size, _target, _times."""
-        rows = self.docs.select(*columns, *(c.alias(k) for k, c in self.columns.items())).join(self.plan, "_skey")
-        at_edge = rows.where(F.col("_cell") == F.col("_edge"))
-        so_far = F.sum("_size").over(W.partitionBy("_skey").orderBy("_key", "_id", "_size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_size")
-        at_edge = at_edge.withColumn("_extra", (F.col("_before") + so_far + F.col("_size") / 2 <= F.col("_rest")).cast("int"))
-        others = rows.where(F.col("_cell") != F.col("_edge")).withColumn("_extra", (F.col("_cell") < F.col("_edge")).cast("int"))
-        times = F.when(F.col("_size") > 0, F.col("_epochs") + F.col("_extra")).otherwise(F.lit(0)).cast("long")
-        return others.unionByName(at_edge).select(*columns, "_id", "_size", "_source_size", "_target", times.alias("_times"))
+    def decided(self, rows: DataFrame, size: Column, some: Column) -> DataFrame:
+        """``rows`` (id, key, cell, skey, and what ``size`` and ``some``, whether there are words, read) with source_size, target, times."""
+        columns = rows.columns
+        rows = rows.join(self.plan, "skey")
+        at_edge = rows.where(F.col("cell") == F.col("edge")).withColumn("_size", size)
+        so_far = F.sum("_size").over(W.partitionBy("skey").orderBy("key", "id", "_size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_size")
+        at_edge = at_edge.withColumn("extra", (F.col("before") + so_far + F.col("_size") / 2 <= F.col("rest")).cast("int")).drop("_size")
+        others = rows.where(F.col("cell") != F.col("edge")).withColumn("extra", (F.col("cell") < F.col("edge")).cast("int"))
+        times = F.when(some, F.col("epochs") + F.col("extra")).otherwise(F.lit(0)).cast("long")
+        return others.unionByName(at_edge).select(*columns, "source_size", "target", times.alias("times"))
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """A row per row of ``docs``: id, size (words), source_size, target (of its source), times, taken = times * size; see Mix."""
-    d = Mix(docs, id_col, **options).decided([])
-    return d.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_times").alias("times"), (F.col("_times") * F.col("_size")).alias("taken"))
+    mix = Mix(docs, id_col, **options)
+    d = mix.decided(mix.rows.drop("source"), F.col("size"), F.col("size") > 0)
+    return d.select(F.col("id").alias(id_col), "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as Mix takes it."""
-    d = Mix(docs, **options).decided(docs.columns).where("_times > 0")
-    return d.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_n")).select(docs.columns)
+    """The rows of ``docs``, each as often as Mix takes it, with the columns of ``docs``; see there for nulls, ties and empty tables."""
+    mix = Mix(docs, **options)
+    rows = docs.select(*mix.placed, mix.text.alias("text"), whole_row(docs).alias("row"))
+    d = mix.decided(rows, word_count(F.col("text")), F.coalesce(F.rlike("text", F.lit(WORD)), F.lit(False))).where("times > 0")
+    return d.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
