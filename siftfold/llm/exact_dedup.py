@@ -2,43 +2,62 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftfold.llm.common import Bitmap, ascii_lower, join_groups, keep_one, shared_dir, table, written
+from siftfold.llm.common import Bitmap, ascii_lower, join_groups, keep_one, scratch, table, written
 
 
+#: Batches that are flushed one after the other, as runs of their own.
+FLUSHES = 4
+
 
 class DigestIndex:
-    """Runs of (digest, id) in the shared folder, as a log-structured merge tree keeps them.
+    """A log-structured merge index of digests in the shared folder: (digest, keep_id, n), n the number of rows.
 
-    ``flush`` takes a table: each task is a memtable, written as a run sorted by digest, with Parquet's bloom filter
-    and page bounds on the digest. ``compact`` merges all runs into one entry a digest, which keeps the largest or
-    smallest identifier and the number of rows.
+    ``flush`` takes a batch of entries: its memtables, one a task, are aggregated to one entry a digest and written as a run
+    sorted by digest, with a filter of its digests. ``compact`` merges runs two by two, level by level, until one is left: of
+    each run only the entries that the other's filter lets through meet in the sort-merge join, which keeps the smallest (or
+    largest) identifier and adds the rows up; the others can have no partner and go on as they are. Filters are read, not
+    trusted: an entry they let through without need finds no partner and stays.
     """
 
     def __init__(self, spark: SparkSession, keep: str = "smallest"):
         if keep not in ("smallest", "largest"):
             raise ValueError("keep is smallest or largest")
         self.spark, self.keep, self.runs = spark, keep, []
-        self.path = f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}"
+        self.path = scratch(spark, "digest-index")
+        self.written = 0
+
+    def _run(self, entries: DataFrame) -> DataFrame:
+        path = f"{self.path}/run-{self.written}"
+        self.written += 1
+        entries.sortWithinPartitions("digest").write.parquet(path)
+        return self.spark.read.schema(entries.schema).parquet(path)
 
     def flush(self, entries: DataFrame) -> None:
         """``entries``: digest binary, id."""
-        self.schema = entries.schema
-        path = f"{self.path}/run-{len(self.runs)}"
-        entries.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
-        self.runs.append(path)
-
-    def entries(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*self.runs)
+        pick = F.min if self.keep == "smallest" else F.max
+        self.runs.append(self._run(entries.groupBy("digest").agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))))
+
+    def _merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        a_filter, b_filter = (Bitmap(x.select("digest"), x.count()) for x in (a, b))
+        least = F.least if self.keep == "smallest" else F.greatest  # of a null and an id, both take the id
+        a_hits = b_filter.keep(a, "digest")
+        b_hits = a_filter.keep(b, "digest").select("digest", F.col("keep_id").alias("other_id"), F.col("n").alias("other_n"))
+        met = a_hits.hint("merge").join(b_hits, "digest", "full").select(
+            "digest", least("keep_id", "other_id").alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("other_n", F.lit(0))).alias("n")
+        )
+        return self._run(met.unionByName(b_filter.leave(a, "digest")).unionByName(a_filter.leave(b, "digest")))
 
     def compact(self) -> DataFrame:
-        pick = F.min if self.keep == "smallest" else F.max
-        return self.entries().groupBy("digest").agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        """One entry a digest: digest, keep_id, n."""
+        while len(self.runs) > 1:
+            merged = [self._merged(*self.runs[i : i + 2]) for i in range(0, len(self.runs) - 1, 2)]
+            self.runs = merged + self.runs[2 * len(merged) :]
+        return self.runs[0]
 
 
 def exact_dedup(
@@ -47,21 +66,25 @@ def exact_dedup(
     text_col: str = "text",
     keep: str = "smallest",
     digest: Callable[[Column], Column] = lambda text: F.sha2(text.cast("binary"), 256),
+    flushes: int = FLUSHES,
 ) -> DataFrame:
     """A row per row of ``docs``: id, keep_id (of the copy that stays), group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts are copies of
     each other. Of equal texts the row with the smallest (or largest) id stays; where several rows have that id, all of
     them do. A null id is never that id, unless all of them are null. Equal digests are no more than candidates: the bytes of all hits are compared, and
-    digests that several texts share are resolved by the texts. Other columns are not read; an empty table gives an
+    digests that several texts share are resolved by the texts. Texts count whole, however long. Other columns are not read; an empty table gives an
     empty result. ``digest`` gives hexadecimal digits, for tests of collisions.
     """
     spark = docs.sparkSession
     text = ascii_lower(docs[text_col])
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"))
+    # the log: what memtables take, by batches of rows
+    logged = rows.select(F.unhex(digest(F.col("text"))).alias("digest"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "id")
+    entries = written(logged, "digest-log")
     index = DigestIndex(spark, keep)
-    index.flush(rows.select(F.unhex(digest(F.col("text"))).alias("digest"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "id"))
-    entries = index.entries()
+    for k in range(flushes):
+        index.flush(entries.where(F.pmod(F.xxhash64("id", "sha"), F.lit(flushes)) == k).select("digest", "id"))
     groups = written(index.compact().where("n > 1"), "digest-groups")
     total = entries.count()
     n_groups = groups.count()
@@ -87,7 +110,11 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, that of the smallest id; rows with equal ids and texts count as one."""
+    """``docs`` with one row of each group of equal texts, that of the smallest id; rows with equal ids and texts count as one.
+
+    Null and empty texts are equal; a null id is kept only where all ids of the group are null, and then each such text once;
+    long texts count whole; an empty table gives an empty result; columns may have any name.
+    """
     found = exact_dedup(docs, id_col, text_col).where("group_size > 1").select(F.col(id_col).alias("id"), "kept", "text_sha256")
     sha = F.sha2(ascii_lower(docs[text_col]).cast("binary"), 256)
     key = lambda id_, sha: F.concat_ws(":", F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("null")), sha)
