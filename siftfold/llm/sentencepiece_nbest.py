@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding: N-best segmentation by forward Viterbi and backward A-star search.
 
-The pieces and scores of a .model file span a lattice over the text, as a unigram model reads them: a path is a
-segmentation, its score the sum of its pieces' scores. White space is written as U+2581, and one such sign is put before
+The pieces of a .model file span a lattice over the text, as a unigram model reads them: a path is a segmentation, its
+score the sum of its pieces' log-probabilities. A unigram model's file holds these. The scores of a BPE model are minus its
+merge ranks, whose sums mean nothing: pieces then get the probabilities of Zipf's law by rank (log_probabilities()); nothing
+is trained. White space is written as U+2581, and one such sign is put before
 the text. No piece has U+2581 after another character, so no piece crosses from one word (a run of U+2581 and what follows
 it) to the next: the lattice of a text is a chain of the lattices of its words, and each distinct word is searched once.
 """
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from siftfold.llm.common import arrow_rows, slices, table, text_of, tokenizer_path
+from siftfold.llm.common import arrow_rows, numbered, slices, table, text_of, tokenizer_path
 
 SPACE = "▁"
 #: Words of more characters are searched by themselves, and not remembered.
@@ -32,6 +34,19 @@ N_BEST = 4
 _P, _K = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
+#: Log-probabilities are multiples of this: sums of them are exact in any order, so equal paths have equal scores.
+GRAIN = 2.0**-20
+
+
+def log_probabilities(scores: dict[str, float]) -> dict[str, float]:
+    """Natural, of the pieces by their scores. Whole numbers, none positive, are merge ranks r: p is in proportion to
+    1 / (r + 1), and sums to 1. Other scores are log-probabilities already."""
+    if scores and all(x <= 0 and x == int(x) for x in scores.values()):
+        total = sum(1 / (1 - x) for x in scores.values())
+        scores = {s: -np.log((1 - x) * total) for s, x in scores.items()}
+    return {s: float(np.round(x / GRAIN) * GRAIN) for s, x in scores.items()}
+
+
 class PieceHash:
     """Scores of pieces by a polynomial hash of their characters, for many substrings at once."""
 
@@ -99,6 +114,8 @@ class Lattices:
             else:
                 self.piece[s] = (i, sp.get_score(i))
                 self.text.append(s)
+        scores = log_probabilities({s: x for s, (_, x) in self.piece.items()})
+        self.piece = {s: (i, scores[s]) for s, (i, _) in self.piece.items()}
         if any(SPACE in s.lstrip(SPACE) for s in self.piece):
             raise ValueError("a piece of this model crosses words")
         self.unk = sp.unk_id()
@@ -451,18 +468,25 @@ class Lattices:
         top = float(self.score[rows].sum())
         return [(top - loss, [x for i, r in enumerate(rows.tolist()) for x in (d[i] if i in d else self.ids_of(np.array([r])).tolist())]) for loss, d in self.losses(words, self.gap[rows], n)]
 
-    def batch(self, texts: list[str], n: int) -> Iterator[tuple[np.ndarray, float, list[float]]]:
-        """Of each text the ids and score of the best segmentation, and the scores of the n best."""
+    def batch(self, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """Of each text the n best segmentations, best first: (score, ids)."""
         cut = [self.words(t) for t in texts]
         rows = self.rows(cut)
         scores, gaps, ids = self.score[rows], self.gap[rows], self.ids_of(rows)
-        w_ends = np.cumsum([len(c) for c in cut])
-        p_ends = np.concatenate([[0], np.cumsum(self.count[rows])])[w_ends]
-        a = p = 0
-        for words, b, q in zip(cut, w_ends.tolist(), p_ends.tolist(), strict=True):
-            top = float(scores[a:b].sum())
-            yield ids[p:q], top, [top - loss for loss, _ in self.losses(words, gaps[a:b], n)]
-            a, p = b, q
+        starts = np.concatenate([[0], np.cumsum(self.count[rows])])
+        a = 0
+        for words in cut:
+            b = a + len(words)
+            top, first, out = float(scores[a:b].sum()), starts[a], []
+            best = ids[first : starts[b]]
+            for loss, other in self.losses(words, gaps[a:b], n):
+                parts, at = [], 0
+                for i in sorted(other):
+                    parts += [best[at : starts[a + i] - first], np.array(other[i], np.int32)]
+                    at = starts[a + i + 1] - first
+                out.append((top - loss, np.concatenate([*parts, best[at:]]) if parts else best))
+            yield out
+            a = b
 
 
 _lattices: dict[str, Lattices] = {}
@@ -473,35 +497,67 @@ def lattices(model: str) -> Lattices:
     return _lattices.get(model) or _lattices.setdefault(model, Lattices(tokenizer_path(model)))
 
 
-def encode_nbest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", n: int = N_BEST, with_ids: bool = True) -> DataFrame:
-    """A row per row of ``docs``: id, n_pieces, score, nbest_scores (n at most, best first), ids_sha256,
-    round_trip, and with ``with_ids`` the ids of the best segmentation.
+def encode_nbest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", n: int = N_BEST, with_ids: bool = True, with_nbest_ids: bool = False) -> DataFrame:
+    """A row per row of ``docs``: id, n_pieces, score, nbest_scores and nbest_sha256 (n at most, best first), ids_sha256,
+    round_trip, and with ``with_ids`` the ids of the best segmentation, with ``with_nbest_ids`` those of all n (nbest_ids).
 
-    ``score`` is that of the best segmentation of the whole text, ``ids_sha256`` the hash of its ids as little-endian
-    32-bit numbers, ``round_trip`` whether decoding them gives the text (U+2581 in a text comes back as a blank, as the
-    model's own library has it). Null and empty texts have no pieces, score 0 and one (empty) segmentation. Repeated
-    rows are encoded each; other columns are not read; an empty table gives an empty result.
+    ``score`` is that of the best segmentation of the whole text, however long, ``nbest_scores`` those of the n best ones,
+    all different; hashes are of ids as little-endian 32-bit numbers; ``round_trip`` tells whether decoding the ids gives
+    the text (U+2581 in a text comes back as a blank, as the model's own library has it). Null and empty texts have no
+    pieces, score 0 and one (empty) segmentation. Of segmentations of equal score the longer last piece, then the least id is
+    best. Repeated rows are encoded each; other columns are not read; an empty table gives an empty result.
     """
 
+    def digest(ids: np.ndarray) -> str:
+        return hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(model)
         for part in (part for batch in batches for part in slices(batch, 1 << 20)):
             texts, rows = text_of(part), []
-            for t, (ids, score, best) in zip(texts, lat.batch(texts, n), strict=True):
-                same = lat.decode(ids) == t.replace(SPACE, " ")
-                rows.append((len(ids), score, best, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), same, ids))
+            for t, found in zip(texts, lat.batch(texts, n), strict=True):
+                score, ids = found[0]
+                hashes = [digest(x) for _, x in found]
+                rows.append((len(ids), score, [x for x, _ in found], hashes, hashes[0], lat.decode(ids) == t.replace(SPACE, " "), ids, [x for _, x in found]))
             cols = list(zip(*rows, strict=True))
-            arrays = [part.column("id"), *(pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.bool_()), strict=False))]
+            kinds = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string(), pa.bool_()]
+            arrays = [part.column("id"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=False))]
             if with_ids:
-                arrays.append(pa.array(list(cols[5]), pa.list_(pa.int32())))
+                arrays.append(pa.array(list(cols[6]), pa.list_(pa.int32())))
+            if with_nbest_ids:
+                arrays.append(pa.array([[x.tolist() for x in c] for c in cols[7]], pa.list_(pa.list_(pa.int32()))))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_pieces", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("nbest_scores", T.ArrayType(T.DoubleType())), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
+    field = T.StructField
+    fields = [field(id_col, docs.schema[id_col].dataType), field("n_pieces", T.LongType()), field("score", T.DoubleType()), field("nbest_scores", T.ArrayType(T.DoubleType()))]
+    fields += [field("nbest_sha256", T.ArrayType(T.StringType())), field("ids_sha256", T.StringType()), field("round_trip", T.BooleanType())]
     if with_ids:
-        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+        fields.append(field("ids", T.ArrayType(T.IntegerType())))
+    if with_nbest_ids:
+        fields.append(field("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType()))))
     schema = T.StructType(fields)
     return arrow_rows(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).mapInArrow(run, schema)
 
 
+def decode_ids(encoded: DataFrame, ids_col: str = "ids", name: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
+    """``encoded`` with a column ``name``: the text of the ids. Blanks stand for U+2581, bytes that are no UTF-8 become U+FFFD.
+
+    Null ids give null, no ids the empty text; a null or unknown id among them is an error. Other columns pass through, a
+    column of that name is replaced; an empty table gives an empty result.
+    """
+    kept = [f for f in encoded.schema.fields if f.name != name]
+    schema = T.StructType([*kept, T.StructField(name, T.StringType())])
+    ids, others = (f"c{encoded.columns.index(ids_col)}", [f"c{encoded.columns.index(f.name)}" for f in kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lat = lattices(model)
+        for batch in batches:
+            texts = [None if x is None else lat.decode(x) for x in batch.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(texts, pa.string())], names=schema.names)
+
+    return arrow_rows(numbered(encoded)).mapInArrow(run, schema)
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode_nbest() of documents, without the ids themselves; see there for nulls, long texts, ties and empty tables."""
     return encode_nbest(table(spark, sf_dir, "documents"), with_ids=False)
