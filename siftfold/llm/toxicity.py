@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import arrow_rows, bucket_of, slices, table, text_of
+from siftfold.llm.common import arrow_rows, bucket_of, labelled, numbered, slices, table, text_of
 
-#: Bounds of the training sample: labelled rows, and characters of a text that may be in it.
-SAMPLE, SAMPLE_CHARS = 4000, 100_000
+#: Bounds of the training sample, which the driver holds: labelled rows, and bytes of all their texts together.
+SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 CUT = 0.3
 _PAD = max(WIDTHS) - 1
@@ -47,6 +47,7 @@ class TextCNN:
     scale: float = 1.0
     shift: float = 0.0
     thresholds: dict = field(default_factory=dict)
+    trained: bool = False  # on rows of both labels
 
     def embedded(self, f: np.ndarray) -> np.ndarray:
         return self.table[f[:, 0]] + self.table[f[:, 1]] + self.table[f[:, 2]]
@@ -149,8 +150,10 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], epochs:
     model = TextCNN()
     y = np.asarray(labels, np.float32)
     if not len(texts) or y.min() == y.max():
-        model.bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+        # nothing to tell texts apart by: all get the share of label 1, smoothed by ten rows of which half a one has it
+        model.bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 9.5)))
         return model
+    model.trained = True
     known: dict[str, tuple[int, int, int]] = {"": (0, 0, 0)}
     docs = []
     for t in texts:
@@ -250,13 +253,23 @@ def _best_cut(s: np.ndarray, t: np.ndarray) -> float:
     return float(good[np.abs(good - CUT).argmin()])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int = 4, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TextCNN:
-    """Learns ``labels.toxic`` from at most ``sample`` labelled rows, by order of a hash of the id; rows whose crc32 of the id mod ``of`` is ``held_out`` are not seen."""
-    known = labels.select(labels[id_col].alias("id"), labels["toxic"].cast("int").alias("y")).where("id is not null and y is not null")
-    known = known.where(bucket_of(F.col("id"), of) != held_out).orderBy(F.xxhash64("id"), "id").limit(sample)
-    lang = docs[lang_col] if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), lang.alias("lang")).where(F.length("text") <= SAMPLE_CHARS)
-    got = rows.join(F.broadcast(known), "id").toPandas().sort_values(["id", "text"], kind="stable")
+def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int = 4, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TextCNN:
+    """Learns ``labels.toxic`` from at most ``sample`` labelled rows, by order of a hash of the id, with whole texts.
+
+    Their texts hold ``sample_bytes`` at most: only beyond that a row that would go over it is passed over. Rows whose
+    crc32 of the id mod ``of`` is ``held_out`` are not seen. Null texts count as empty; of rows with equal ids the least
+    text is learnt from, of several labels the largest; languages only set thresholds, and a table without them gets one
+    threshold. Without rows of both labels the model is not trained: it gives every text the same score, the smoothed
+    share of toxic rows (0.05 without any), and rejects none.
+    """
+    found = labelled(docs, labels, "toxic", held_out, of, sample, id_col, text_col, lang_col)
+    sizes = found.select("id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("id"), "id").collect()  # sample rows at most
+    ids, left = [], sample_bytes
+    for r in sizes:
+        if r.n <= left:
+            ids.append(r.id)
+            left -= r.n
+    got = (found if len(ids) == len(sizes) else found.where(F.col("id").isin(ids))).toPandas().sort_values("id", kind="stable")
     return train(got.text.tolist(), got.y.to_numpy(), [None if pd.isna(x) else x for x in got.lang])
 
 
@@ -272,28 +285,42 @@ def score_toxicity(docs: DataFrame, model: TextCNN, text_col: str = "text", name
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # 8 MB: BUCKETS x DIM floats
     docs = docs.drop(name)
+    text = f"c{docs.columns.index(text_col)}"
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         words = _Words(net)
-        for batch in (part for whole in batches for part in slices(whole, name=text_col)):
-            scores = net.scores(pooled(net, words, text_of(batch, text_col)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+        for batch in (part for whole in batches for part in slices(whole, name=text)):
+            scores = net.scores(pooled(net, words, text_of(batch, text)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=schema.names)
 
-    return arrow_rows(docs).mapInArrow(run, schema)
+    return arrow_rows(numbered(docs)).mapInArrow(run, schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row of documents: null and empty texts are scored as texts without words,
+    texts count whole however long, repeated rows are scored each, equal texts alike; a null id is not held out. An empty table
+    gives an empty result; without labels all scores are 0.05. Other columns of documents and labels are not read."""
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(bucket_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= CUT).cast("int").alias("predicted"))
 
 
-def reject_toxic(docs: DataFrame, model: TextCNN, lang_col: str = "lang") -> DataFrame:
-    """The rows that the model does not reject, by the thresholds of their languages; the columns of ``docs``."""
+def reject_toxic(docs: DataFrame, model: TextCNN, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that the model does not reject, by the thresholds of their languages; the columns of ``docs``, whatever their names.
+
+    A language without a threshold of its own, and null, has that of all languages. Null and empty texts are scored as texts
+    without words; repeated rows and equal texts are decided alike; a score equal to the threshold is rejected. An untrained
+    model rejects nothing; an empty table gives an empty result.
+    """
+    if not model.trained:
+        return docs
     cut = F.lit(model.thresholds.get(None, CUT))
     for lang, c in sorted((k, v) for k, v in model.thresholds.items() if k is not None):
         cut = F.when(F.col(lang_col) == lang, F.lit(c)).otherwise(cut) if lang_col in docs.columns else cut
-    return score_toxicity(docs, model, name="_toxicity").where(F.col("_toxicity") < cut).select(*docs.columns)
+    name = "_toxicity"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return score_toxicity(docs, model, text_col, name).where(F.col(name) < cut).drop(name)
