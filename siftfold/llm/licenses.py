@@ -128,7 +128,7 @@ def scan_licenses(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    templates: dict[str, str] | None = None,
+    templates: dict[str, str] | DataFrame | None = None,
     containment: float = CONTAINMENT,
     bands: int = BANDS,
     n: int = SHINGLE,
@@ -141,9 +141,17 @@ def scan_licenses(
     no template can't count for containment and are left out first: this only raises the similarity of a window with the
     templates it holds. ``containment`` of the result is that of the best window, ``first_word`` the place of its first
     shingle of the template; ``row_no`` tells apart rows with equal ids. Templates of fewer
-    than ``n`` words are one shingle of all their words. Null and empty texts and those shorter than all templates' shingles have no rows; repeated rows are scanned each; other columns are not read; an empty table gives an empty result.
+    than ``n`` words are one shingle of all their words. Null and empty texts and those shorter than all templates' shingles have no rows; repeated rows are scanned each; texts are
+    scanned whole, however long; other columns are not read; an empty table gives an empty result. Of windows of equal
+    containment the first counts. ``templates`` are texts by name, or a table with license_id and text; rows with null in
+    either are left out, and of several texts of a name the least counts.
     """
+    if isinstance(templates, DataFrame):
+        listed = templates.where("license_id is not null and text is not null").groupBy("license_id").agg(F.min("text").alias("text")).limit(MOST_SHINGLES + 1)
+        templates = {r.license_id: r.text for r in listed.collect()}  # a template has a shingle at least, so more are refused below
     templates = {**TEMPLATES, **SHORT_TEMPLATES} if templates is None else templates
+    if not templates:
+        return docs.select(docs[id_col].alias(id_col), *(F.lit(None).cast(t).alias(c) for c, t in (("license_id", "string"), ("containment", "double"), ("shingles", "long"), ("first_word", "long"), ("row_no", "long")))).where("false")
     spark = docs.sparkSession
     listed = [(name, s, 1 << max(0, len(sh) - 1).bit_length(), len(sh)) for name, t in templates.items() for sh in [_shingles(t, n)] for s in sh]
     if short := [name for name, t in templates.items() if not _shingles(t, n)]:
@@ -181,3 +189,27 @@ def scan_licenses(
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("row_no")
+
+
+def _values(templates: dict[str, str]) -> str:
+    return ", ".join("('" + name.replace("'", "''") + "', '" + text.replace("'", "''") + "')" for name, text in templates.items())
+
+
+_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+#: Containment in each window, without bands: what they must not lose.
+OP8_SQL = rf"""
+WITH t(license_id, text) AS (VALUES {_values({**TEMPLATES, **SHORT_TEMPLATES})}),
+tw AS (SELECT license_id, {_WORDS} AS w FROM t),
+ti AS (SELECT license_id, w, least({SHINGLE}, len(w)) AS k, unnest(range(len(w) - least({SHINGLE}, len(w)) + 1)) AS i FROM tw),
+ts AS (SELECT DISTINCT license_id, k, array_to_string(w[i + 1 : i + k], ' ') AS shingle FROM ti),
+tn AS (SELECT license_id, count(*) AS shingles, pow(2, ceil(log2(count(*))))::BIGINT AS span FROM ts GROUP BY license_id),
+dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dk AS (SELECT doc_id, w, k FROM dw, (SELECT DISTINCT k FROM ts) WHERE len(w) >= k),
+di AS (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS place FROM dk),
+ds AS (SELECT doc_id, place, k, array_to_string(w[place + 1 : place + k], ' ') AS shingle FROM di),
+h AS (SELECT doc_id, place, license_id, shingle, shingles, unnest([place // span - 1, place // span]) AS win FROM ds JOIN ts USING (k, shingle) JOIN tn USING (license_id)),
+c AS (SELECT doc_id, license_id, win, shingles, count(DISTINCT shingle) / shingles::DOUBLE AS containment, min(place) AS place FROM h WHERE win >= 0 GROUP BY doc_id, license_id, win, shingles),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license_id ORDER BY containment DESC, place) AS r FROM c WHERE containment >= {CONTAINMENT})
+SELECT doc_id, license_id, containment, shingles::BIGINT AS shingles, place::BIGINT AS first_word FROM b WHERE r = 1
+"""

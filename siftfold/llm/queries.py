@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
-ORACLES = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op4_mixing": mixing.OP4_SQL}
+ORACLES = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op8_license_scan": licenses.OP8_SQL}
