@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftfold.storage import scratch, written  # noqa: F401
 
@@ -73,13 +76,30 @@ def by_bytes(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def arrow_rows(df: DataFrame, most: int = 1000) -> DataFrame:
-    """``df``, for mapInArrow: the session's Arrow batches get ``most`` rows at most, as texts may be long; else each task
-    holds batches of 10,000 texts outside the heap. Where the setting is lower already it stays."""
+def give_back() -> None:
+    """Returns freed memory to the system: workers and the driver live on, and share their machine with the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, most: int = 1000) -> DataFrame:
+    """``df`` through ``run``, by mapInArrow. The session's Arrow batches get ``most`` rows at most, as texts may be long; else
+    each task holds batches of 10,000 texts outside the heap. Where the setting is lower already it stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(name)) <= most:
         df.sparkSession.conf.set(name, str(most))
-    return df
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidied, schema)
 
 
 def numbered(docs: DataFrame) -> DataFrame:

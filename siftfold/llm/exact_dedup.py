@@ -6,51 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftfold.llm.common import Bitmap, ascii_lower, join_groups, keep_one, scratch, table, written
 
 
-#: Batches that are flushed one after the other, as runs of their own.
-FLUSHES = 4
+#: Batches of the log, each flushed as a run of its own.
+FLUSHES = 3
 
 
 class DigestIndex:
     """A log-structured merge index of digests in the shared folder: (digest, keep_id, n), n the number of rows.
 
-    ``flush`` takes a batch of entries: its memtables, one a task, are aggregated to one entry a digest and written as a run
-    sorted by digest, with a filter of its digests. ``compact`` merges runs two by two, level by level, until one is left: of
-    each run only the entries that the other's filter lets through meet in the sort-merge join, which keeps the smallest (or
-    largest) identifier and adds the rows up; the others can have no partner and go on as they are. Filters are read, not
-    trusted: an entry they let through without need finds no partner and stays.
+    ``flush`` takes entries by batches: each batch's memtables are aggregated to one entry a digest and written as a run
+    sorted by digest. ``compact`` merges runs two by two, level by level, until one is left: of each run only the entries
+    that the filter of the other's digests lets through meet in the sort-merge join, which keeps the smallest (or largest)
+    identifier and adds the rows up; the others can have no partner and go on as they are. Filters are read, not trusted: an
+    entry they let through without need finds no partner and stays. ``rows`` bounds the entries, and sizes the filters.
     """
 
-    def __init__(self, spark: SparkSession, keep: str = "smallest"):
+    def __init__(self, spark: SparkSession, rows: int, keep: str = "smallest"):
         if keep not in ("smallest", "largest"):
             raise ValueError("keep is smallest or largest")
-        self.spark, self.keep, self.runs = spark, keep, []
+        self.spark, self.rows, self.keep, self.runs = spark, rows, keep, []
         self.path = scratch(spark, "digest-index")
         self.written = 0
 
-    def _run(self, entries: DataFrame) -> DataFrame:
-        path = f"{self.path}/run-{self.written}"
+    def _read(self, path: str, schema: T.StructType) -> DataFrame:
         self.written += 1
-        entries.sortWithinPartitions("digest").write.parquet(path)
-        return self.spark.read.schema(entries.schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
-    def flush(self, entries: DataFrame) -> None:
-        """``entries``: digest binary, id."""
+    def flush(self, entries: DataFrame, batches: int = 1) -> None:
+        """``entries``: digest binary, id, batch (0 to batches - 1). All runs come from one job."""
         pick = F.min if self.keep == "smallest" else F.max
-        self.runs.append(self._run(entries.groupBy("digest").agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))))
+        memtables = entries.groupBy("digest", "batch").agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        path = f"{self.path}/flush-{self.written}"
+        memtables.sortWithinPartitions("batch", "digest").write.partitionBy("batch").parquet(path)
+        run = self._read(path, T.StructType([*memtables.drop("batch").schema.fields, T.StructField("batch", T.IntegerType())]))
+        self.runs += [run.where(F.col("batch") == k).drop("batch") for k in range(batches)]
 
     def _merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        a_filter, b_filter = (Bitmap(x.select("digest"), x.count()) for x in (a, b))
+        a_filter, b_filter = (Bitmap(x.select("digest"), self.rows) for x in (a, b))
         least = F.least if self.keep == "smallest" else F.greatest  # of a null and an id, both take the id
         a_hits = b_filter.keep(a, "digest")
         b_hits = a_filter.keep(b, "digest").select("digest", F.col("keep_id").alias("other_id"), F.col("n").alias("other_n"))
         met = a_hits.hint("merge").join(b_hits, "digest", "full").select(
             "digest", least("keep_id", "other_id").alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("other_n", F.lit(0))).alias("n")
         )
-        return self._run(met.unionByName(b_filter.leave(a, "digest")).unionByName(a_filter.leave(b, "digest")))
+        merged = met.unionByName(b_filter.leave(a, "digest")).unionByName(a_filter.leave(b, "digest"))
+        path = f"{self.path}/merged-{self.written}"
+        merged.sortWithinPartitions("digest").write.parquet(path)
+        return self._read(path, merged.schema)
 
     def compact(self) -> DataFrame:
         """One entry a digest: digest, keep_id, n."""
@@ -82,11 +88,10 @@ def exact_dedup(
     # the log: what memtables take, by batches of rows
     logged = rows.select(F.unhex(digest(F.col("text"))).alias("digest"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "id")
     entries = written(logged, "digest-log")
-    index = DigestIndex(spark, keep)
-    for k in range(flushes):
-        index.flush(entries.where(F.pmod(F.xxhash64("id", "sha"), F.lit(flushes)) == k).select("digest", "id"))
-    groups = written(index.compact().where("n > 1"), "digest-groups")
     total = entries.count()
+    index = DigestIndex(spark, total, keep)
+    index.flush(entries.select("digest", "id", F.pmod(F.xxhash64("id", "sha"), F.lit(flushes)).cast("int").alias("batch")), flushes)
+    groups = written(index.compact().where("n > 1"), "digest-groups")
     n_groups = groups.count()
 
     named = rows.withColumn("digest", F.unhex(digest(F.col("text"))))

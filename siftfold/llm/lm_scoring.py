@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import arrow_rows, bucket_of, slices, table, text_of, written
+from siftfold.llm.common import arrow_map, bucket_of, slices, table, text_of, written
 
 #: Cells; units of a cell; units of single words (the first is the end), and units that other words share.
 CELLS, UNITS, OWN = 32, 64, 1536
@@ -248,7 +248,7 @@ def _counted(docs: DataFrame, most: int = 200_000) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return arrow_rows(docs.select("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return arrow_map(docs.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -348,14 +348,14 @@ def train(learnt: DataFrame, stats: Statistics) -> LogBilinear:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["piece", "held"])
 
-    hashed = arrow_rows(learnt.select(F.xxhash64("id", "text").alias("h"), F.hash("id", "text").alias("g"), "text"))
-    rows = hashed.mapInArrow(encoded, "h long, g int, units binary").groupBy("h", "g").agg(F.first("units").alias("units"), F.count(F.lit(1)).alias("n"))
+    hashed = learnt.select(F.xxhash64("id", "text").alias("h"), F.hash("id", "text").alias("g"), "text")
+    rows = arrow_map(hashed, encoded, "h long, g int, units binary").groupBy("h", "g").agg(F.first("units").alias("units"), F.count(F.lit(1)).alias("n"))
     spread = F.least("n", F.lit(shards))
     rows = rows.select("h", "g", "units", "n", spread.alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), spread - 1)).alias("j"))
     times = F.floor(F.col("n") / F.col("m")) + (F.col("j") < F.col("n") % F.col("m")).cast("long")
     dealt = rows.select(F.pmod(F.col("h") + F.col("j"), F.lit(shards)).alias("shard"), "h", "g", "units", times.alias("times"))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "g")
-    pieces = dealt.mapInArrow(learn, "piece int, held binary").repartition("piece").mapInArrow(summed, "piece int, held binary")
+    pieces = arrow_map(arrow_map(dealt, learn, "piece int, held binary").repartition("piece"), summed, "piece int, held binary")
     got = sorted(((r.piece, bytes(r.held)) for r in pieces.collect()))  # one network, under 1 MB
     sent.unpersist()
     if not got:
@@ -425,7 +425,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(words, pa.binary()), pa.nulls(m, ids.type), pa.nulls(m, pa.bool_()), pa.array(times, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=names)
 
     schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("times", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    parts = arrow_rows(rows.select(F.monotonically_increasing_id().alias("uid"), "id", "text", "held_out")).mapInArrow(run, schema)
+    parts = arrow_map(rows.select(F.monotonically_increasing_id().alias("uid"), "id", "text", "held_out"), run, schema)
     joined = parts.join(counts.select("word", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0)) + F.lit(0.5)
     k = (F.pmod(F.crc32(F.substring(F.col("word"), -3, 3)), F.lit(SHARED)) + 1).cast("int")

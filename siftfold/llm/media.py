@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from siftfold.llm.common import arrow_rows, slices, table, text_of
+from siftfold.llm.common import arrow_map, slices, table, text_of
 
 #: Samples of a hop; a window is two hops, and a payload is a whole number of hops.
 HOP = 192
@@ -101,7 +101,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, peak_times array<int>, pair_codes array<int>"
-    return arrow_rows(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).mapInArrow(run, schema)
+    return arrow_map(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, schema)
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

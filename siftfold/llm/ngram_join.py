@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import arrow_rows, components, join_groups, keep_one, row_key, slices, table, text_of, written, Bitmap
+from siftfold.llm.common import arrow_map, components, join_groups, keep_one, row_key, slices, table, text_of, written, Bitmap
 
 WORDS, SIMILARITY = 5, 0.8
 #: The target for the share of pairs at the least similarity that meet in a band.
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, n: int, signer: Signer | None) -> DataFrame:
     fields = [docs.schema["id"], docs.schema["row_key"], T.StructField("key", T.BinaryType()), T.StructField("grams", T.LongType() if signer else T.ArrayType(T.LongType()))]
     if signer:
         fields.append(T.StructField("bands", T.ArrayType(T.LongType())))
-    return arrow_rows(docs).mapInArrow(run, T.StructType(fields))
+    return arrow_map(docs, run, T.StructType(fields))
 
 
 def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -155,26 +155,31 @@ def _compare(band: int, similarity: float, left: list, right: list) -> Iterator[
         first &= a[:, k][:, None] != b[:, k][None, :]
     keys = [m[0] for m in members]
     n = np.concatenate([first.sum(axis=1), first.sum(axis=0) if right else []]).astype(int)
-    root = list(range(len(members)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    offset = len(left) if right else 0
-    reached = np.zeros(len(members), bool)
-    for i in range(len(left)):  # a breadth-first forest needs no more than one link a member
-        for j in np.flatnonzero(linked[i] & ~(reached[offset : offset + len(others)] & reached[i])):
-            x, y = top(i), top(int(j) + offset)
-            if x != y:
-                lo, hi = (x, y) if keys[x] <= keys[y] else (y, x)
-                root[hi] = lo
+    root = _roots(linked, np.argsort(np.argsort(np.array(keys))), len(left) if right else 0)
     for i, k in enumerate(keys):
-        t = top(i)
-        if n[i] or t != i:
-            yield k, int(n[i]), keys[t]
+        if n[i] or root[i] != i:
+            yield k, int(n[i]), keys[root[i]]
+
+
+def _roots(linked: np.ndarray, rank: np.ndarray, offset: int) -> np.ndarray:
+    """The member of least rank that each one is connected to: ranks spread over all links at once until none changes.
+    Columns of ``linked`` are the members from ``offset`` on."""
+    now, m = rank.copy(), len(linked)
+    while True:
+        before = now.copy()
+        others = now[offset : offset + linked.shape[1]]
+        least = np.where(linked, others[None, :], len(rank)).min(axis=1, initial=len(rank))
+        now[:m] = np.minimum(now[:m], least)
+        least = np.where(linked, now[:m, None], len(rank)).min(axis=0, initial=len(rank))
+        now[offset : offset + linked.shape[1]] = np.minimum(now[offset : offset + linked.shape[1]], least)
+        by_rank = np.empty_like(now)
+        by_rank[rank] = now
+        now = np.minimum(now, by_rank[now])  # the root of the root
+        if (now == before).all():
+            break
+    member = np.empty_like(rank)
+    member[rank] = np.arange(len(rank))
+    return member[now]
 
 
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, n: int = WORDS, rows: int = ROWS, bands: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -237,7 +242,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out += _compare(at[0], similarity, left, right)
         yield batch()
 
-    found = written(arrow_rows(tasks).mapInArrow(run, "key binary, links long, root binary"), "ngram-links")
+    found = written(arrow_map(tasks, run, "key binary, links long, root binary"), "ngram-links")
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = classes.select("key", "rep", "copies").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").join(links, "key", "left")
@@ -252,7 +257,11 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class of ngram_classes(), that of the least id; rows with equal ids and texts count as one. Of a class without ids each text stays."""
+    """``docs`` with one row of each class of ngram_classes(), that of the least id; rows with equal ids and texts count as one.
+
+    Null and empty texts are in no class and stay, rows equal in id and text only once where others are near them; of a class
+    without ids each text stays. Long texts count whole. An empty table gives an empty result; columns may have any name.
+    """
     found = ngram_classes(docs, id_col, text_col, similarity).where("copies > 1 or n_links > 0")
     members = found.select(F.col("row_key").alias("_key"), F.col(id_col).eqNullSafe(F.col("class_id")).alias("kept"))
     return keep_one(docs, members, row_key(docs[id_col], docs[text_col]))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import arrow_rows, bucket_of, labelled, numbered, slices, table, text_of
+from siftfold.llm.common import arrow_map, bucket_of, give_back, labelled, numbered, slices, table, text_of
 
 #: Bound of the labelled rows that are broadcast as vectors.
 SAMPLE = 4000
@@ -134,9 +134,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_out: int = 1, of: int =
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), rows], names=["id", "y", "counts"])
 
     schema = T.StructType([found.schema["id"], found.schema["y"], T.StructField("counts", T.BinaryType())])
-    got = arrow_rows(found.select("id", "y", "text")).mapInArrow(run, schema).toPandas().sort_values("id", kind="stable")
+    got = arrow_map(found.select("id", "y", "text"), run, schema).toPandas().sort_values("id", kind="stable")
     counts = np.frombuffer(b"".join(map(bytes, got.counts)), np.float32).reshape(len(got), TERMS + REPEATS)
-    return train(counts, got.y.to_numpy())
+    model = train(counts, got.y.to_numpy())
+    del got, counts
+    give_back()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Neighbours, text_col: str = "text") -> DataFrame:
@@ -156,7 +159,7 @@ def score_quality(docs: DataFrame, model: Neighbours, text_col: str = "text") ->
             votes = sent.value.vote(terms.counts(text_of(batch, text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes, pa.float64())], names=schema.names)
 
-    return arrow_rows(numbered(docs)).mapInArrow(run, schema)
+    return arrow_map(numbered(docs), run, schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from siftfold.llm.common import arrow_rows, numbered, slices, table, text_of, tokenizer_path
+from siftfold.llm.common import arrow_map, numbered, slices, table, text_of, tokenizer_path
 
 SPACE = "▁"
 #: Words of more characters are searched by themselves, and not remembered.
@@ -536,7 +536,7 @@ def encode_nbest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if with_nbest_ids:
         fields.append(field("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType()))))
     schema = T.StructType(fields)
-    return arrow_rows(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).mapInArrow(run, schema)
+    return arrow_map(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, schema)
 
 
 def decode_ids(encoded: DataFrame, ids_col: str = "ids", name: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -555,7 +555,7 @@ def decode_ids(encoded: DataFrame, ids_col: str = "ids", name: str = "text", mod
             texts = [None if x is None else lat.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(texts, pa.string())], names=schema.names)
 
-    return arrow_rows(numbered(encoded)).mapInArrow(run, schema)
+    return arrow_map(numbered(encoded), run, schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

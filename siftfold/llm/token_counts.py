@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from siftfold.llm.common import arrow_rows, by_bytes, slices, table, text_of, tokenizer_path
+from siftfold.llm.common import arrow_map, by_bytes, slices, table, text_of, tokenizer_path
 
 #: A stretch from one safe boundary to the next. No pre-token of the byte-level pattern holds white space after
 #: anything else, so each change from non-space to a space or line feed is a boundary that no merge crosses.
@@ -91,7 +91,7 @@ def count_tokens(
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return arrow_rows(source).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(source, run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

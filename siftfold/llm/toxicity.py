@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftfold.llm.common import arrow_rows, bucket_of, labelled, numbered, slices, table, text_of
+from siftfold.llm.common import arrow_map, bucket_of, give_back, labelled, numbered, slices, table, text_of
 
 #: Bounds of the training sample, which the driver holds: labelled rows, and bytes of all their texts together.
 SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
@@ -270,7 +270,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int
             ids.append(r.id)
             left -= r.n
     got = (found if len(ids) == len(sizes) else found.where(F.col("id").isin(ids))).toPandas().sort_values("id", kind="stable")
-    return train(got.text.tolist(), got.y.to_numpy(), [None if pd.isna(x) else x for x in got.lang])
+    model = train(got.text.tolist(), got.y.to_numpy(), [None if pd.isna(x) else x for x in got.lang])
+    del got
+    give_back()
+    return model
 
 
 _words: dict[str, _Words] = {}
@@ -295,7 +298,7 @@ def score_toxicity(docs: DataFrame, model: TextCNN, text_col: str = "text", name
             scores = net.scores(pooled(net, words, text_of(batch, text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=schema.names)
 
-    return arrow_rows(numbered(docs)).mapInArrow(run, schema)
+    return arrow_map(numbered(docs), run, schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

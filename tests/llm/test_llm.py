@@ -181,15 +181,16 @@ def test_digest_index_merges_runs(spark):
     """Runs with shared, single and colliding digests, against a dictionary."""
     rng = np.random.default_rng(12)
     for keep, pick in (("smallest", min), ("largest", max)):
-        index, want = exact_dedup.DigestIndex(spark, keep), {}
+        index, want = exact_dedup.DigestIndex(spark, 1500, keep), {}
+        rows = []
         for k in range(5):
-            batch = [(bytearray([int(x) % 251, int(x) // 251]), int(i) if i else None) for x, i in rng.integers(0, 900, (300, 2))]
-            for d, i in batch if k != 3 else []:
-                want.setdefault(bytes(d), []).append(i)
-            index.flush(spark.createDataFrame(batch if k != 3 else [], "digest binary, id long"))
+            for x, i in rng.integers(0, 900, (300, 2)) if k != 3 else []:
+                rows.append((bytearray([int(x) % 251, int(x) // 251]), int(i) if i else None, k))
+                want.setdefault(bytes(rows[-1][0]), []).append(rows[-1][1])
+        index.flush(spark.createDataFrame(rows, "digest binary, id long, batch int"), 5)
+        assert len(index.runs) == 5 and index.runs[3].count() == 0
         got = {bytes(r.digest): (r.keep_id, r.n) for r in index.compact().collect()}
         assert got == {d: (pick((i for i in ids if i is not None), default=None), len(ids)) for d, ids in want.items()} and index.compact().count() == len(want)
-    assert exact_dedup.DigestIndex(spark).runs == []
 
 
 def test_short_and_common_licenses(spark):
