@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from siftfold import metrics
 from siftfold.config import PRESETS, Config
 from siftfold.operators import grouping
 from siftfold.plans import report
@@ -27,23 +28,29 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--verbose", action="store_true")
     a = p.parse_args(argv)
     config, preset = Config.load(a.config), PRESETS[a.performance]
-    spark = SparkSession.builder.master(f"local[{a.threads or '*'}]").appName("siftfold").config("spark.sql.session.timeZone", "UTC").config("spark.sql.execution.arrow.maxRecordsPerBatch", preset.arrow_batch).getOrCreate()
+    threads = a.threads or (config.threads_per_stage if config.parallel_scan else 0)
+    spark = SparkSession.builder.master(f"local[{threads or '*'}]").appName("siftfold").config("spark.sql.session.timeZone", "UTC").config("spark.sql.execution.arrow.maxRecordsPerBatch", preset.arrow_batch).getOrCreate()
     began = time.time()
     depth = a.depth if a.depth is not None else config.max_depth
     least = a.min_size if a.min_size is not None else config.min_file_size
     found = filetree.scan(spark, a.dir, maxDepth=depth, minSize=least, extensions=",".join(config.extensions), withContent=True, partitions=preset.partitions_per_core * spark.sparkContext.defaultParallelism)
-    good = found.where("error is null")
-    n = good.count()
+    counters = metrics.ScanCounters(found)
+    good = grouping.outside(grouping.by_type(counters.df.where("error is null"), config.include_types, config.exclude_types), config.exclude_directories)
+    checked = grouping.with_checksum(good, config.hash_algorithm).drop("content").cache()  # files are listed and read once
+    n = checked.count()
     if not n:
         print("No files found.", file=sys.stderr)
         return 0
-    members = grouping.duplicates_direct(good, config.hash_algorithm).cache()
+    members = grouping.members_of_groups(checked, "size", "checksum").cache()
     members.count()
     seconds = time.time() - began
     if a.verbose:
-        print(f"{n} files, {seconds:.1f} s, {n / max(seconds, 1e-9):.0f} files/s", file=sys.stderr)
+        print("\n".join(counters.lines(seconds)), file=sys.stderr)
     shown = {"directory": a.dir, "max_depth": depth, "min_file_size": least, "similarity_threshold": config.similarity_threshold, "hash_algorithm": config.hash_algorithm}
     text = report.render(members, n, seconds, shown, a.format.split("-")[0], a.format.endswith("pretty"))
+    if config.mode != "report" and a.format == "text":  # what a removal would do; nothing is ever deleted
+        plan = report.action_plan(report.report_members(members)).orderBy("group_id", "path").collect()
+        text += "\n".join(f"{r.action} {r.path}" for r in plan) + "\n" if plan else ""
     if a.output:
         with open(a.output, "w", encoding="utf-8") as f:
             f.write(text)

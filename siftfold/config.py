@@ -21,13 +21,16 @@ class Config:
     quick_check_sample_size: int = 8192
     similarity_threshold: int = 95
     mode: str = "report"
-    parallel_scan: bool = True
+    parallel_scan: bool = False
     extensions: tuple[str, ...] = ()
     hash_algorithm: str = "sha256"
+    include_types: tuple[str, ...] = ()
+    exclude_types: tuple[str, ...] = ()
+    exclude_directories: tuple[str, ...] = ()
 
     def validate(self) -> Config:
         if not 0 <= self.similarity_threshold <= 100:
-            raise ConfigurationError("similarity_threshold must be between 0 and 100")
+            raise ConfigurationError("similarity_threshold is a percentage, from 0 to 100")
         if self.threads_per_stage <= 0:
             raise ConfigurationError("threads_per_stage must be positive")
         if self.quick_check_sample_size <= 0:
@@ -64,7 +67,7 @@ class Config:
 
 def _typed(name: str, value):
     try:
-        if name == "extensions":
+        if name in ("extensions", "include_types", "exclude_types", "exclude_directories"):
             return tuple(value.split(",")) if isinstance(value, str) else tuple(value)
         if name == "parallel_scan":
             return value if isinstance(value, bool) else str(value).lower() in ("1", "true", "yes")
@@ -85,6 +88,16 @@ class Preset:
     arrow_batch: int
 
 
+@dataclass(frozen=True)
+class WalkerPreset:
+    """Of the stream reader: files a batch, seconds to a batch's deadline, partitions for each core."""
+
+    files_per_batch: int
+    deadline: float
+    partitions_per_core: int
+
+
+WALKERS = {"default": WalkerPreset(1000, 1.0, 2), "large": WalkerPreset(100_000, 5.0, 4), "responsive": WalkerPreset(100, 0.1, 1)}
 PRESETS = {"high": Preset(4, 8192, 100_000, 1000), "balanced": Preset(2, 4096, 50_000, 500), "standard": Preset(1, 2048, 20_000, 200)}
 
 

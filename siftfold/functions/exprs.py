@@ -114,10 +114,6 @@ def extension(path: Column) -> Column:
     return F.when(found != "", F.lower(found))
 
 
-def owner_may_write(mode: Column) -> Column:
-    return mode.bitwiseAND(F.lit(0o200)) != 0
-
-
 def timestamp_text(ts: Column) -> Column:
     """Seconds, UTC session; before the epoch unknown."""
     return F.when(F.unix_micros(ts) < 0, F.lit("unknown")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))

@@ -6,7 +6,7 @@ QUICK_CHECK = T.StructType([T.StructField("sample_checksum", T.DecimalType(20, 0
 STATISTICAL = T.StructType([T.StructField("entropy", T.DoubleType()), T.StructField("simhash", T.LongType()), T.StructField("fingerprint", T.BinaryType())])
 FILE = T.StructType(
     [
-        T.StructField("path", T.StringType(), False), T.StructField("size", T.LongType(), False), T.StructField("file_type", T.StringType()),
+        T.StructField("path", T.StringType(), False), T.StructField("size", T.LongType()), T.StructField("file_type", T.StringType()),
         T.StructField("modified", T.TimestampType()), T.StructField("created", T.TimestampType()), T.StructField("readonly", T.BooleanType()),
         T.StructField("hidden", T.BooleanType()), T.StructField("depth", T.IntegerType()), T.StructField("error", T.StringType()),
     ]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftfold.functions import exprs, kernels
 from siftfold.model import ConfigurationError
+from siftfold.storage import written
 
 HASHES = {
     "sha256": lambda c: F.sha2(c, 256),
@@ -51,18 +52,20 @@ def duplicates_direct(df: DataFrame, algorithm: str = "sha256") -> DataFrame:
     return members_of_groups(with_checksum(df, algorithm).drop("content"), "size", "checksum")
 
 
-def duplicates_staged(df: DataFrame, sample_size: int = 8192, algorithm: str = "sha256") -> DataFrame:
+def duplicates_staged(df: DataFrame, sample_size: int = 8192, algorithm: str = "sha256", key: str | None = None) -> DataFrame:
     """As duplicates_direct(), by cheap keys first: size, sampled checksum (from 64 bytes on), simhash (from 256), full hash.
 
-    Rows that a cheap key shows to be unique are not read further.
+    Rows that a cheap key shows to be unique are not read further. Each step reads the input once and writes narrow rows
+    (``key``, by which rows are told apart: id, or path where there is none); contents are read again for survivors alone.
     """
-    stage = members_of_groups(df, "size")
+    key = key or ("id" if "id" in df.columns else "path")
+    sizes = written(df.select(key, "size"), "sizes")
+    left = df.join(members_of_groups(sizes, "size").select(key), key, "left_semi")
     quick = F.when(F.col("size") >= 64, kernels.quick_check_udf(sample_size)(F.col("content"))["sample_checksum"])
-    stage = members_of_groups(stage.withColumn("quick", F.coalesce(quick, F.lit("0"))), "size", "quick")
-    prefix = exprs.first_bytes(F.col("content"), kernels.PREFIX)
-    simhash = F.when(F.col("size") >= 256, kernels.shingle_simhash_udf(prefix))
-    stage = members_of_groups(stage.withColumn("simhash", F.coalesce(simhash, F.lit(0).cast("long"))), "size", "quick", "simhash")
-    return members_of_groups(with_checksum(stage, algorithm).drop("content"), "size", "quick", "simhash", "checksum").drop("quick", "simhash")
+    simhash = F.when(F.col("size") >= 256, kernels.shingle_simhash_udf(exprs.first_bytes(F.col("content"), kernels.PREFIX)))
+    sampled = left.select(key, "size", F.coalesce(quick, F.lit("0")).alias("quick"), F.coalesce(simhash, F.lit(0).cast("long")).alias("simhash"))
+    kept = written(members_of_groups(written(sampled, "samples"), "size", "quick", "simhash").select(key), "survivors")
+    return duplicates_direct(df.join(kept, key, "left_semi"), algorithm)
 
 
 def with_primary(members: DataFrame, *keys: str) -> DataFrame:
@@ -71,12 +74,19 @@ def with_primary(members: DataFrame, *keys: str) -> DataFrame:
     return members.withColumn("rank", rank.cast("long")).withColumn("is_primary", F.col("rank") == 1)
 
 
+def error_sample() -> Column:
+    """The sample of contents that can't be read: one byte FF, and nothing that is known of it."""
+    flags = F.struct(*(F.lit(False).alias(f) for f in ("is_binary", "is_text", "is_compressed", "is_executable")))
+    return F.struct(F.unhex(F.lit("FF")).alias("header"), F.lit(None).cast("binary").alias("footer"), F.lit(None).cast("string").alias("mime_type"), flags.alias("structure_hints"))
+
+
 def content_sample(header_size: int = 4096, footer_size: int = 1024, max_size: int = 10 << 30) -> Column:
     """Header, footer (of contents over footer_size), type and structure; larger files than max_size count as empty."""
     content = F.when(F.col("size") > max_size, F.unhex(F.lit(""))).otherwise(F.col("content"))
     header = exprs.first_bytes(content, header_size)
     footer = F.when((F.col("size") > footer_size) & (F.col("size") <= max_size), exprs.last_bytes(content, footer_size))
-    return F.struct(header.alias("header"), footer.alias("footer"), exprs.mime_type(header).alias("mime_type"), exprs.structure_flags(header).alias("structure_hints"))
+    sample = F.struct(header.alias("header"), footer.alias("footer"), exprs.mime_type(header).alias("mime_type"), exprs.structure_flags(header).alias("structure_hints"))
+    return F.when(F.col("content").isNull() & ~(F.col("size") > max_size), error_sample()).otherwise(sample)
 
 
 def by_extension(df: DataFrame, extensions: list[str]) -> DataFrame:
@@ -84,6 +94,20 @@ def by_extension(df: DataFrame, extensions: list[str]) -> DataFrame:
     return df.where(F.coalesce(F.col("extension").isin([e.lower().lstrip(".") for e in extensions]), F.lit(False))) if extensions else df
 
 
+def by_type(df: DataFrame, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """By file type or its first part (text, text/plain); none included: all. Rows of unknown type are never included by name."""
+    kind = F.coalesce(F.col("file_type"), F.lit(""))
+    among = lambda names: kind.isin(list(names)) | F.element_at(F.split(kind, "/"), 1).isin(list(names))
+    df = df.where(among(include)) if include else df
+    return df.where(~among(exclude)) if exclude else df
+
+
+def outside(df: DataFrame, directories: list[str]) -> DataFrame:
+    """Without rows that have one of these names among their directories."""
+    parents = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    return df.where(~F.arrays_overlap(parents, F.array(*map(F.lit, directories)))) if directories else df
+
+
 def visible(df: DataFrame) -> DataFrame:
     return df.where(~F.col("hidden"))
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 from typing import Protocol
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftfold.config import BatchOptions
 from siftfold.operators import grouping, similarity
+from siftfold.storage import written
 
 
 class Stage(Protocol):
@@ -61,7 +61,8 @@ class QuickCheckStage:
 
 
 class StatisticalStage:
-    """Greedy clusters of similar fingerprints. Clusters of two or more are duplicates; single rows skip."""
+    """Greedy clusters of similar fingerprints. The verdict is one for the stage: if any cluster has two rows or more, these
+    clusters are duplicates, and single rows are left out; else all rows skip."""
 
     name = "statistical"
 
@@ -73,7 +74,9 @@ class StatisticalStage:
         prints = similarity.fingerprints(df, o.block_size, o.min_blocks, o.max_blocks)
         clusters = similarity.leader_clusters(df.select("id"), similarity.similar_pairs(prints, o.similarity_threshold))
         rows = _with_counts(df.join(clusters, "id").withColumn("group_key", F.concat(F.lit("cluster:"), F.col("leader").cast("string"))), "group_key")
-        return rows.withColumn("disposition", F.when(F.col("members") > 1, "duplicates").otherwise("skip")).drop("members", "leader")
+        most = rows.agg(F.max("members").alias("most"))
+        rows = rows.join(F.broadcast(most)).withColumn("disposition", F.when(F.col("most") > 1, "duplicates").otherwise("skip"))  # most has one row
+        return rows.where("members > 1 or most = 1").drop("members", "most", "leader")
 
 
 class HashStage:
@@ -97,7 +100,8 @@ def run_sequential(df: DataFrame, stages: list[Stage]) -> DataFrame:
     if not stages:
         raise ValueError("a pipeline needs a stage")
     for stage in stages:
-        out = stage.apply(df)
+        # the decisions are written once, and contents joined back where the next stage needs them
+        out = written(stage.apply(df).select("id", "group_key", "disposition"), f"stage-{stage.name}")
         first = out.select("disposition").first()
         if first is None:
             return out.select("id", "group_key")
@@ -105,7 +109,7 @@ def run_sequential(df: DataFrame, stages: list[Stage]) -> DataFrame:
             return out.select("id", F.concat(F.lit("single:"), F.col("id").cast("string")).alias("group_key"))
         if first.disposition == "duplicates":
             return out.select("id", "group_key")
-        df = out.drop("disposition", "group_key")
+        df = df.join(out.select("id"), "id", "left_semi")
     return df.select("id", F.concat(F.lit("size:"), F.col("size").cast("string")).alias("group_key"))
 
 
@@ -118,5 +122,6 @@ def run_parallel(df: DataFrame, stages: list[Stage]) -> DataFrame:
     return grouping.members_of_groups(df, "size").select("id", F.concat(F.lit("size:"), F.col("size").cast("string")).alias("group_key"))
 
 
-def rank_in_group(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("group_key").orderBy("id")).cast("long"))
+def flatten_groups(groups: DataFrame, members: str = "members") -> DataFrame:
+    """A row per member of nested groups: group_key, and the fields of the member."""
+    return groups.select("group_key", F.explode(members).alias("m")).select("group_key", "m.*")

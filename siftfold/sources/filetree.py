@@ -67,7 +67,7 @@ def files(path: str, depth: int, o: _Options) -> Iterator[tuple]:
         if o.on_error == "fail":
             raise
         if o.on_error == "report":
-            yield (path, 0, None, None, None, None, None, depth, str(e), None)
+            yield (path, None, None, None, None, None, None, depth, str(e), None)
         return
     for e in entries:
         if not _shown(e.name, o) or not e.is_file(follow_symlinks=False):
@@ -98,7 +98,7 @@ def files(path: str, depth: int, o: _Options) -> Iterator[tuple]:
             if o.on_error == "fail":
                 raise
             if o.on_error == "report":
-                yield (e.path, 0, None, None, None, None, e.name.startswith("."), depth, str(x), None)
+                yield (e.path, None, None, None, None, None, e.name.startswith("."), depth, str(x), None)
 
 
 class _Directories(InputPartition):
@@ -113,14 +113,13 @@ class _Reader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Least size and greatest depth are tested while listing, before contents are read."""
         for f in filters:
+            yield f  # Spark tests it again: entries that can't be read have no size
             if isinstance(f, GreaterThanOrEqual) and f.attribute == ("size",):
                 self.o.min_size = max(self.o.min_size, f.value)
             elif isinstance(f, GreaterThan) and f.attribute == ("size",):
                 self.o.min_size = max(self.o.min_size, f.value + 1)
             elif isinstance(f, EqualTo) and f.attribute == ("hidden",) and f.value is False:
                 self.o.hidden = False
-            else:
-                yield f
 
     def partitions(self) -> list[InputPartition]:
         found = [d for r in self.o.roots for d in directories(r, self.o)]

@@ -59,6 +59,11 @@ def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def mark(spark: SparkSession) -> int:
     """How many paths there are; for release()."""
     return len(_made.get(spark.sparkContext.applicationId, []))
@@ -69,6 +74,5 @@ def release(spark: SparkSession, since: int, until: int | None = None) -> None:
     made = _made.get(spark.sparkContext.applicationId, [])
     for i, path in enumerate(made[since:until], since):
         if path:
-            p, fs = _file_system(spark, path)
-            fs.delete(p, True)
+            remove(spark, path)
             made[i] = ""
