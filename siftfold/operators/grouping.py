@@ -74,19 +74,15 @@ def with_primary(members: DataFrame, *keys: str) -> DataFrame:
     return members.withColumn("rank", rank.cast("long")).withColumn("is_primary", F.col("rank") == 1)
 
 
-def error_sample() -> Column:
-    """The sample of contents that can't be read: one byte FF, and nothing that is known of it."""
-    flags = F.struct(*(F.lit(False).alias(f) for f in ("is_binary", "is_text", "is_compressed", "is_executable")))
-    return F.struct(F.unhex(F.lit("FF")).alias("header"), F.lit(None).cast("binary").alias("footer"), F.lit(None).cast("string").alias("mime_type"), flags.alias("structure_hints"))
-
-
 def content_sample(header_size: int = 4096, footer_size: int = 1024, max_size: int = 10 << 30) -> Column:
-    """Header, footer (of contents over footer_size), type and structure; larger files than max_size count as empty."""
+    """Header, footer (of contents over footer_size), type and structure; larger files than max_size count as empty. Contents
+    that can't be read (null) have the one byte FF as header, and nothing else that is known of them."""
     content = F.when(F.col("size") > max_size, F.unhex(F.lit(""))).otherwise(F.col("content"))
     header = exprs.first_bytes(content, header_size)
     footer = F.when((F.col("size") > footer_size) & (F.col("size") <= max_size), exprs.last_bytes(content, footer_size))
-    sample = F.struct(header.alias("header"), footer.alias("footer"), exprs.mime_type(header).alias("mime_type"), exprs.structure_flags(header).alias("structure_hints"))
-    return F.when(F.col("content").isNull() & ~(F.col("size") > max_size), error_sample()).otherwise(sample)
+    # each field has its own case: one around the whole struct would be evaluated for every field of a group key
+    seen = exprs.structure_flags(F.coalesce(header, F.unhex(F.lit(""))))
+    return F.struct(F.coalesce(header, F.unhex(F.lit("FF"))).alias("header"), footer.alias("footer"), exprs.mime_type(header).alias("mime_type"), seen.alias("structure_hints"))
 
 
 def by_extension(df: DataFrame, extensions: list[str]) -> DataFrame:
