@@ -33,15 +33,15 @@ def main(argv: list[str] | None = None) -> int:
     began = time.time()
     depth = a.depth if a.depth is not None else config.max_depth
     least = a.min_size if a.min_size is not None else config.min_file_size
-    found = filetree.scan(spark, a.dir, maxDepth=depth, minSize=least, extensions=",".join(config.extensions), withContent=True, partitions=preset.partitions_per_core * spark.sparkContext.defaultParallelism)
+    found = filetree.scan(spark, a.dir, maxDepth=depth, minSize=least, extensions=",".join(config.extensions), partitions=preset.partitions_per_core * spark.sparkContext.defaultParallelism)
     counters = metrics.ScanCounters(found)
     good = grouping.outside(grouping.by_type(counters.df.where("error is null"), config.include_types, config.exclude_types), config.exclude_directories)
-    checked = grouping.with_checksum(good, config.hash_algorithm).drop("content").cache()  # files are listed and read once
-    n = checked.count()
+    good = good.drop("content").cache()  # the tree is listed once
+    n = good.count()
     if not n:
         print("No files found.", file=sys.stderr)
         return 0
-    members = grouping.members_of_groups(checked, "size", "checksum").cache()
+    members = filetree.duplicate_files(good, min(config.quick_check_sample_size, preset.sample_size), config.hash_algorithm).cache()
     members.count()
     seconds = time.time() - began
     if a.verbose:

@@ -1,22 +1,32 @@
 """Directory trees as a DataFrame source, for batch and for streams: ``spark.read.format("filetree").load(root)``.
 
 Options: maxDepth, minSize, includeHidden (false), extensions (comma-separated), withContent (false), sniff (true), partitions
-(8). Roots are separated by commas. Hidden and too deep directories are never entered; symbolic links are neither followed nor
-listed; entries that can't be read have an ``error`` and no size, or are left out by onError=skip; onError=fail stops.
+(8), settle (0.05 seconds, of streams). Roots are separated by commas. Hidden and too deep directories are never entered;
+symbolic links are neither followed nor listed; entries that can't be read have an ``error`` and no size, or are left out by
+onError=skip; onError=fail stops.
+
+The driver lists directories only until there are enough subtrees to deal out; tasks walk these. Contents in rows are for files
+that fit one; with_file_samples() and with_file_checksum() read files of any size in pieces, dealt out by path.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import stat
-from collections.abc import Iterator
+import time
+import zlib
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 
-from siftfold.model import FILE, InvalidPathError
+from siftfold.functions import kernels
+from siftfold.model import FILE, ConfigurationError, InvalidPathError
 
 SCHEMA = T.StructType([*FILE.fields, T.StructField("content", T.BinaryType())])
 
@@ -33,31 +43,62 @@ class _Options:
         self.sniff = str(get("sniff", "true")).lower() == "true"
         self.partitions = int(get("partitions") or 8)
         self.on_error = get("onerror") or "report"
+        self.settle = float(get("settle") or 0.05)
 
 
 def _shown(name: str, o: _Options) -> bool:
     return o.hidden or not name.startswith(".")
 
 
-def directories(root: str, o: _Options) -> Iterator[tuple[str, int]]:
-    """(directory, depth of its entries); not below max_depth."""
-    if not os.path.isdir(root):
-        raise InvalidPathError(f"no such directory: {root}")
-    stack = [(root, 1)]
+#: Subtrees a partition to deal out, so that large ones meet small ones; threads that list directories on the driver.
+SUBTREES, LISTERS = 16, 16
+#: Bytes of a file in memory at once.
+PIECE = 1 << 20
+
+
+def _below(at: tuple[str, int], o: _Options) -> list[tuple[str, int]]:
+    """Directories in a directory that are to be entered, with the depth of their entries."""
+    path, depth = at
+    if o.max_depth is not None and depth >= o.max_depth:
+        return []
+    try:
+        with os.scandir(path) as entries:
+            return [(e.path, depth + 1) for e in entries if e.is_dir(follow_symlinks=False) and _shown(e.name, o)]
+    except OSError:
+        if o.on_error == "fail":
+            raise
+        return []  # files() tells of it
+
+
+def directories(at: tuple[str, int], o: _Options) -> Iterator[tuple[str, int]]:
+    """(directory, depth of its entries) of a subtree; not below max_depth."""
+    stack = [at]
     while stack:
-        path, depth = stack.pop()
-        yield path, depth
-        if o.max_depth is not None and depth >= o.max_depth:
-            continue
-        try:
-            with os.scandir(path) as entries:
-                stack += [(e.path, depth + 1) for e in entries if e.is_dir(follow_symlinks=False) and _shown(e.name, o)]
-        except OSError:
-            if o.on_error == "fail":
-                raise
+        found = stack.pop()
+        yield found
+        stack += _below(found, o)
 
 
-def files(path: str, depth: int, o: _Options) -> Iterator[tuple]:
+def roots(o: _Options) -> list[tuple[str, int]]:
+    for r in o.roots:
+        if not os.path.isdir(r):
+            raise InvalidPathError(f"no such directory: {r}")
+    return [(r, 1) for r in o.roots]
+
+
+def units(o: _Options, wanted: int) -> list[tuple[str, int, bool]]:
+    """(directory, depth of its entries, whether with all below it): the upper levels one by one, then ``wanted`` subtrees or
+    more, of which the driver has seen the names alone. A tree of fewer directories is dealt out by directory."""
+    single, open_ = [], roots(o)
+    with ThreadPoolExecutor(LISTERS) as pool:
+        while open_ and len(open_) < wanted:
+            single += [(p, d, False) for p, d in open_]
+            open_ = [x for found in pool.map(lambda at: _below(at, o), open_) for x in found]
+    return single + [(p, d, True) for p, d in open_]
+
+
+def files(path: str, depth: int, o: _Options, wanted: Callable[[os.stat_result], bool] = lambda s: True) -> Iterator[tuple]:
+    """Rows of a directory's files; files that are not ``wanted`` are not opened."""
     from siftfold.sources.sniff import sniffed
 
     try:
@@ -77,7 +118,7 @@ def files(path: str, depth: int, o: _Options) -> Iterator[tuple]:
             continue
         try:
             s = e.stat(follow_symlinks=False)
-            if s.st_size < o.min_size:
+            if s.st_size < o.min_size or not wanted(s):
                 continue
             content = None
             if o.content:
@@ -101,9 +142,20 @@ def files(path: str, depth: int, o: _Options) -> Iterator[tuple]:
                 yield (e.path, None, None, None, None, None, e.name.startswith("."), depth, str(x), None)
 
 
-class _Directories(InputPartition):
-    def __init__(self, held: list[tuple[str, int]]):
+class _Units(InputPartition):
+    def __init__(self, held: list[tuple[str, int, bool]], since: int | None = None, until: int | None = None):
         self.held = held
+        self.since, self.until = since, until
+
+    def directories(self, o: _Options) -> Iterator[tuple[str, int]]:
+        for path, depth, whole in self.held:
+            yield from directories((path, depth), o) if whole else [(path, depth)]
+
+
+def _dealt(o: _Options, since: int | None = None, until: int | None = None) -> list[InputPartition]:
+    found = units(o, SUBTREES * o.partitions)
+    n = max(1, min(o.partitions, len(found)))
+    return [_Units(found[i::n], since, until) for i in range(n)]
 
 
 class _Reader(DataSourceReader):
@@ -122,17 +174,21 @@ class _Reader(DataSourceReader):
                 self.o.hidden = False
 
     def partitions(self) -> list[InputPartition]:
-        found = [d for r in self.o.roots for d in directories(r, self.o)]
-        n = max(1, min(self.o.partitions, len(found)))
-        return [_Directories(found[i::n]) for i in range(n)]
+        return _dealt(self.o)
 
-    def read(self, partition: _Directories) -> Iterator[tuple]:
-        for path, depth in partition.held:
+    def read(self, partition: _Units) -> Iterator[tuple]:
+        for path, depth in partition.directories(self.o):
             yield from files(path, depth, self.o)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """Each micro-batch has the files that were not there at the one before, by time of change."""
+class _StreamReader(DataSourceStreamReader):
+    """Each micro-batch has the files that are new or changed since the one before, by the file system's time of change.
+
+    The driver looks for the latest such time alone, of files and directories (what is deleted changes its directory, so the
+    time never goes back); tasks list their subtrees and read files. What changed within the last ``settle`` seconds waits for
+    the next batch, as more files may get the same time: where the file system's clock is another machine's, set it above
+    their difference. A file that changes between two batches comes again.
+    """
 
     def __init__(self, o: _Options):
         self.o = o
@@ -140,20 +196,30 @@ class _StreamReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"until": -1}
 
-    def _between(self, lo: int, hi: int) -> Iterator[tuple]:
-        for r in self.o.roots:
-            for path, depth in directories(r, self.o):
-                for row in files(path, depth, self.o):
-                    if row[8] is None and lo < os.stat(row[0]).st_ctime_ns <= hi:
-                        yield row
+    def latestOffset(self) -> dict:
+        def latest(unit: tuple[str, int, bool]) -> int:
+            most = -1
+            for path, _ in _Units([unit]).directories(self.o):
+                try:
+                    most = max(most, os.stat(path).st_ctime_ns)
+                    with os.scandir(path) as entries:
+                        most = max([most, *(e.stat(follow_symlinks=False).st_ctime_ns for e in entries if _shown(e.name, self.o))])
+                except OSError:
+                    if self.o.on_error == "fail":
+                        raise
+            return most
+
+        with ThreadPoolExecutor(LISTERS) as pool:
+            found = max(pool.map(latest, units(self.o, SUBTREES * LISTERS)), default=-1)
+        return {"until": min(found, time.time_ns() - int(self.o.settle * 1e9))}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        found = [(os.stat(row[0]).st_ctime_ns, row) for r in self.o.roots for p, d in directories(r, self.o) for row in files(p, d, self.o) if row[8] is None]
-        new = [(t, row) for t, row in found if t > start["until"]]
-        return iter([row for _, row in new]), {"until": max((t for t, _ in new), default=start["until"])}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return _dealt(self.o, start["until"], end["until"]) if start["until"] < end["until"] else []
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._between(start["until"], end["until"])
+    def read(self, partition: _Units) -> Iterator[tuple]:
+        wanted = lambda s: partition.since < s.st_ctime_ns <= partition.until
+        for path, depth in partition.directories(self.o):
+            yield from (row for row in files(path, depth, self.o, wanted) if row[8] is None)
 
 
 class FileTreeSource(DataSource):
@@ -167,7 +233,7 @@ class FileTreeSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Reader(_Options(self.options))
 
-    def simpleStreamReader(self, schema: T.StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
         return _StreamReader(_Options(self.options))
 
 
@@ -176,6 +242,105 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FileTreeSource)
 
 
-def scan(spark: SparkSession, *roots: str, **options) -> "DataFrame":  # noqa: F821
+def scan(spark: SparkSession, *roots: str, **options) -> DataFrame:
     register(spark)
     return spark.read.format("filetree").options(**{k: str(v) for k, v in options.items() if v is not None}).load(",".join(roots))
+
+
+def _hasher(algorithm: str) -> Callable:
+    """For grouping.HASHES, fed piece by piece."""
+    if algorithm in ("sha256", "sha512", "sha1", "md5"):
+
+        def digest(pieces: Iterator[bytes]) -> str:
+            h = hashlib.new(algorithm)
+            for piece in pieces:
+                h.update(piece)
+            return h.hexdigest()
+    elif algorithm == "crc32":
+
+        def digest(pieces: Iterator[bytes]) -> str:
+            value = 0
+            for piece in pieces:
+                value = zlib.crc32(piece, value)
+            return f"{value:X}"
+    elif algorithm == "xxhash64":
+        import xxhash
+
+        def digest(pieces: Iterator[bytes]) -> str:
+            h = xxhash.xxh64(seed=42)  # fixed value: that of Spark's function
+            for piece in pieces:
+                h.update(piece)
+            return f"{h.intdigest():X}"
+    else:
+        raise ConfigurationError(f"no hash of files named {algorithm}")
+    return digest
+
+
+def _pieces(path: str) -> Iterator[bytes]:
+    with open(path, "rb") as f:
+        while piece := f.read(PIECE):
+            yield piece
+
+
+def _sampled(path: str, size: int, sample: int) -> str:
+    """The checksum of kernels.three_samples(), of which only these bytes are read."""
+    with open(path, "rb") as f:
+        s = min(sample, size)
+        if size <= 3 * s:
+            return str(kernels.rolling_checksum(f.read(s)))
+        parts = []
+        for at in (0, size // 2 - s // 2, size - s):
+            f.seek(at)
+            parts.append(f.read(s))
+        return str(kernels.rolling_checksum(b"".join(parts)))
+
+
+def _with_read(df: DataFrame, name: str, read: Callable[[str, int], str | None]) -> DataFrame:
+    """One more column, read from the file of each row. Rows are dealt out by path, as one directory may hold most files. A
+    file that can't be read any more has an error and no value."""
+    schema = T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, T.StringType())])
+    if "error" not in df.columns:
+        raise ValueError("rows of a scan have an error column")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, errors = [], batch.column("error").to_pylist()
+            for i, (path, size) in enumerate(zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), strict=True)):
+                value = None
+                if errors[i] is None:
+                    try:
+                        value = read(path, size)
+                    except OSError as e:
+                        errors[i] = str(e)
+                values.append(value)
+            new = {"error": pa.array(errors, pa.string()), name: pa.array(values, pa.string())}
+            yield pa.RecordBatch.from_arrays([new.get(f.name, batch.column(f.name) if f.name in batch.schema.names else None) for f in schema], names=schema.names)
+
+    return df.repartition("path").mapInArrow(run, schema)
+
+
+def with_file_checksum(df: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """checksum: as grouping.with_checksum() has it, of files of any size, a piece in memory at once."""
+    digest = _hasher(algorithm)
+    return _with_read(df, "checksum", lambda path, size: digest(_pieces(path)))
+
+
+def with_file_samples(df: DataFrame, sample_size: int = 8192) -> DataFrame:
+    """quick: checksum of the first, middle and last bytes of files of 64 bytes on; only these are read."""
+    return _with_read(df, "quick", lambda path, size: _sampled(path, size, sample_size) if size >= 64 else None)
+
+
+def duplicate_files(found: DataFrame, sample_size: int = 8192, algorithm: str = "sha256") -> DataFrame:
+    """Rows of a scan whose content occurs more than once, with checksum: by size, then samples, then the whole content.
+
+    Files are opened only while a cheaper key repeats, and read whole only where samples agree. Each step is written, so
+    no file is read twice; files that can't be read any more are left out.
+    """
+    from siftfold.operators import grouping
+    from siftfold.storage import written
+
+    rows = written(found.where("error is null").drop("content"), "files")
+    sampled = written(with_file_samples(grouping.members_of_groups(rows, "size"), sample_size).where("error is null").fillna({"quick": ""}), "file-samples")
+    left = grouping.members_of_groups(sampled, "size", "quick").drop("quick")
+    checked = written(with_file_checksum(left, algorithm).where("error is null"), "file-checksums")
+    return grouping.members_of_groups(checked, "size", "checksum")
