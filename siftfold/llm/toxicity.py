@@ -65,6 +65,19 @@ class TextCNN:
             k += w
         return np.concatenate(parts, axis=1) + self.conv_bias
 
+    def strongest(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest value of each filter in a text of feature rows, of which _PAD are empty at its end, and the window that
+        has it, the first of equal ones; _PIECE windows at once."""
+        columns = np.arange(len(self.conv_bias))
+        best, place = np.full(len(columns), -np.inf, np.float32), np.zeros(len(columns), np.int64)
+        for a in range(0, len(f) - _PAD, _PIECE):
+            c = self.convolved(self.embedded(f[a : a + _PIECE + _PAD]))
+            at = c.argmax(axis=0)
+            value = c[at, columns]
+            place = np.where(value > best, a + at, place)
+            best = np.maximum(best, value)
+        return best, place
+
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(pooled, 0) @ self.out + self.bias
 
@@ -193,10 +206,8 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], epochs:
             g_bias, rows, grads = 0.0, [], []
             for i in batch:
                 f = docs[i]
-                x = model.embedded(f)
-                c = model.convolved(x)
-                at = c.argmax(axis=0)
-                h = np.maximum(c[at, np.arange(len(at))], 0)
+                best, at = model.strongest(f)
+                h = np.maximum(best, 0)
                 p = 1 / (1 + np.exp(-np.clip(h @ model.out + model.bias, -30, 30)))
                 d = (p - y[i]) * (heavy if y[i] else 1.0) / len(batch)
                 g_out += d * h
@@ -207,7 +218,7 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], epochs:
                     cols = slice(k * FILTERS, (k + 1) * FILTERS)
                     for j in range(w):
                         place = at[cols] + j
-                        g_conv[first + j] += (x[place] * dh[cols, None]).T
+                        g_conv[first + j] += (model.embedded(f[place]) * dh[cols, None]).T
                         gx = dh[cols, None] * model.conv[first + j].T
                         rows.append(f[place].ravel())
                         grads.append(np.repeat(gx, 3, axis=0))
@@ -227,7 +238,7 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], epochs:
 
 def _calibrate(model: TextCNN, docs: list[np.ndarray], y: np.ndarray, held: np.ndarray, langs: list[str | None]) -> None:
     at = np.flatnonzero(held)
-    best = np.array([model.convolved(model.embedded(docs[i])).max(axis=0) for i in at]) if len(at) else np.zeros((0, len(model.out)))
+    best = np.array([model.strongest(docs[i])[0] for i in at]) if len(at) else np.zeros((0, len(model.out)))
     if len(at) < 20 or len(set(y[at])) < 2:
         return
     z, t = model.logits(best).astype(np.float64), y[at]

@@ -699,3 +699,20 @@ def test_pipeline(spark, many, tmp_path):
     assert set(seen["ngram_join"]) == {ids[c] for c, _, _ in brute_classes([texts[i] for i in ids]).values()}
     assert seen["mixing"] == seen["sentencepiece"] and max(seen["mixing"].values()) <= 2
     assert Counter(r.doc_id for r in p.run(spark, str(tmp_path)).collect()) == seen["sentencepiece"]
+
+
+def test_toxicity_training_by_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["red", "blue", "hate", "calm", "x1", "..."], n)) for n in rng.integers(0, 60, 80)]
+    y = np.array(["hate" in t for t in texts], np.float32)
+    whole = toxicity.train(texts, y, ["en"] * 80)
+    f = rng.integers(0, toxicity.BUCKETS, (50, 3))
+    f[-2:] = 0
+    c = whole.convolved(whole.embedded(f))
+    monkeypatch.setattr(toxicity, "_PIECE", 7)
+    best, at = whole.strongest(f)
+    assert np.allclose(best, c.max(axis=0), atol=1e-6) and np.allclose(c[at, np.arange(len(at))], c.max(axis=0), atol=1e-6)
+    parts = toxicity.train(texts, y, ["en"] * 80)
+    words = toxicity._Words
+    a, b = (m.scores(toxicity.pooled(m, words(m), texts)) for m in (whole, parts))
+    assert np.abs(a - b).max() < 0.02 and np.allclose(whole.table, parts.table, atol=0.02)
