@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftfold.llm.common import table, written
 
-#: Words of a shingle, and bands of one row. With one row a band and a similarity j of the window's and the
-#: template's shingles, a template is retrieved with probability 1 - (1 - j) ** BANDS.
-SHINGLE, BANDS = 5, 32
+#: Words of a shingle, and the least probability with which a window that holds enough of a template retrieves it.
+SHINGLE, RECALL = 5, 0.9999
+#: Places (of shingles) of a piece of a text. Pieces overlap by the longest window, so each window is within one.
+PIECE = 4096
 CONTAINMENT = 0.8
 #: Templates with more shingles in all than this are refused: they are broadcast.
 MOST_SHINGLES = 100_000
+#: Bits of the table that tells which values no band of a template has (128 KB).
+BITS = 1 << 20
 
 #: Notices by which texts state their licence.
 TEMPLATES = {
@@ -124,25 +128,53 @@ def anchors(templates: dict[str, str], n: int = SHINGLE) -> set[str]:
     return {max(s.split(" "), key=lambda w: (len(w), w)) for t in templates.values() for s in _shingles(t, n)}
 
 
+def bands_for(counts: list[int], span: int, containment: float = CONTAINMENT, recall: float = RECALL) -> int:
+    """Bands of one row for templates of ``counts`` shingles and windows of twice ``span``.
+
+    A window that holds ``containment`` of a template has at least the similarity j = held / (2 span + n - held) with it, and
+    meets it in one of b bands with probability 1 - (1 - j) ** b. A window of one shingle is equal to its template: one band.
+    """
+    if span == 1:
+        return 1
+    most = 1
+    for n in counts:
+        held = max(1, math.ceil(containment * n - 1e-9))
+        most = max(most, math.ceil(math.log(1 - recall) / math.log(1 - held / (2 * span + n - held))))
+    return most
+
+
+def _slot(value: Column) -> Column:
+    return value.bitwiseAND(F.lit(BITS - 1)).cast("int")
+
+
+def _bits(slots: DataFrame) -> list[int]:
+    """BITS bits as signed words of 64: those of ``slots`` are set. At most BITS rows come to the driver."""
+    words = [0] * (BITS // 64)
+    for (i,) in slots.distinct().collect():
+        words[i // 64] |= 1 << i % 64
+    return [w - (1 << 64) if w >> 63 else w for w in words]
+
+
 def scan_licenses(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     templates: dict[str, str] | DataFrame | None = None,
     containment: float = CONTAINMENT,
-    bands: int = BANDS,
+    recall: float = RECALL,
     n: int = SHINGLE,
 ) -> DataFrame:
     """A row per text and template found in it: id, license_id, containment, shingles, first_word, row_no.
 
     A template is found where a window holds ``containment`` or more of its distinct shingles of ``n`` words (runs of
     letters and digits, in lower case). Windows are 2s shingles long, one every s shingles, s the least power of two not
-    below the template's number of shingles, so each place that can hold the template lies within one window. Shingles of
-    no template can't count for containment and are left out first: this only raises the similarity of a window with the
-    templates it holds. ``containment`` of the result is that of the best window, ``first_word`` the place of its first
+    below the template's number of shingles, so each place that can hold the template lies within one window; those of
+    templates of one shingle are single shingles. All windows of a text that has one of the templates' words (anchors()) are
+    banded; the bands retrieve templates, each with probability ``recall`` or more, and the retrieved ones are verified on
+    the window's shingles. ``containment`` of the result is that of the best window, ``first_word`` the place of its first
     shingle of the template; ``row_no`` tells apart rows with equal ids. Templates of fewer
     than ``n`` words are one shingle of all their words. Null and empty texts and those shorter than all templates' shingles have no rows; repeated rows are scanned each; texts are
-    scanned whole, however long; other columns are not read; an empty table gives an empty result. Of windows of equal
+    scanned whole, in overlapping pieces, however long; other columns are not read; an empty table gives an empty result. Of windows of equal
     containment the first counts. ``templates`` are texts by name, or a table with license_id and text; rows with null in
     either are left out, and of several texts of a name the least counts.
     """
@@ -152,36 +184,71 @@ def scan_licenses(
     templates = {**TEMPLATES, **SHORT_TEMPLATES} if templates is None else templates
     if not templates:
         return docs.select(docs[id_col].alias(id_col), *(F.lit(None).cast(t).alias(c) for c, t in (("license_id", "string"), ("containment", "double"), ("shingles", "long"), ("first_word", "long"), ("row_no", "long")))).where("false")
-    spark = docs.sparkSession
-    listed = [(name, s, 1 << max(0, len(sh) - 1).bit_length(), len(sh)) for name, t in templates.items() for sh in [_shingles(t, n)] for s in sh]
-    if short := [name for name, t in templates.items() if not _shingles(t, n)]:
+    cut = {name: _shingles(t, n) for name, t in templates.items()}
+    if short := [name for name, sh in cut.items() if not sh]:
         raise ValueError(f"templates without words: {short}")
+    listed = [(name, s, 1 << (len(sh) - 1).bit_length(), len(sh), s.count(" ") + 1) for name, sh in cut.items() for s in sh]
     if len(listed) > MOST_SHINGLES:
         raise ValueError(f"over {MOST_SHINGLES} shingles in all templates")
-    ours = spark.createDataFrame(listed, "license_id string, shingle string, span int, shingles int")
-    spans = sorted({x[2] for x in listed})
-    sizes = sorted({x[1].count(" ") + 1 for x in listed})
-    minima = [F.min(F.xxhash64(F.lit(i), "shingle")).alias(f"m{i}") for i in range(bands)]
-    banded = F.posexplode(F.array(*[f"m{i}" for i in range(bands)])).alias("band", "value")
-    template_bands = ours.groupBy("license_id", "span", "shingles").agg(*minima).select("license_id", "span", "shingles", banded)
+    ours = docs.sparkSession.createDataFrame(listed, "license_id string, shingle string, span int, shingles int, k int")
+    counts_of: dict[int, list[int]] = {}
+    for sh in cut.values():
+        counts_of.setdefault(1 << (len(sh) - 1).bit_length(), []).append(len(sh))
+    spans, sizes = sorted(counts_of), sorted({x[4] for x in listed})
+    piece = max(PIECE, spans[-1])  # both powers of two
 
     words = F.split(F.lower(F.coalesce(docs[text_col], F.lit(""))), r"[^\p{L}\p{N}]+")
     rows = docs.select(docs[id_col].alias("id"), F.monotonically_increasing_id().alias("row_no"), F.array_remove(words, "").alias("words"))
     rows = rows.where(F.arrays_overlap("words", F.array(*[F.lit(x) for x in sorted(anchors(templates, n))]))).where(F.size("words") >= sizes[0])
-    placed = rows.select("id", "row_no", "words", F.explode(F.sequence(F.lit(0), F.size("words") - sizes[0])).alias("at"))
-    # a place near the end has no shingle of the larger sizes
-    at_place = F.array(*[F.when(F.col("at") + k <= F.size("words"), F.concat_ws(" ", F.slice("words", F.col("at") + 1, k))) for k in sizes])
-    placed = placed.select("id", "row_no", F.col("at").cast("long").alias("at"), F.explode(at_place).alias("shingle"))
-    held = written(placed.join(F.broadcast(ours.select("shingle").distinct()), "shingle"), "license-shingles")
-
-    first = F.floor(F.col("at") / F.col("span"))
-    windows = held.select("*", F.explode(F.array(*map(F.lit, spans))).alias("span"))
-    windows = windows.select("*", F.explode(F.array(first - 1, first)).alias("window")).where("window >= 0")
-    signed = windows.groupBy("id", "row_no", "span", "window").agg(*minima).select("id", "row_no", "span", "window", banded)
-    found = signed.join(F.broadcast(template_bands), ["span", "band", "value"]).select("row_no", "span", "window", "license_id", "shingles").distinct()
-    # The checks: which of a retrieved template's shingles the window holds.
-    checked = windows.join(F.broadcast(ours.select("license_id", "shingle", "span")), ["shingle", "span"]).join(found, ["row_no", "span", "window", "license_id"])
-    counts = checked.groupBy("id", "row_no", "license_id", "window", "shingles").agg(F.count_distinct("shingle").alias("held"), F.min("at").alias("at"))
+    last = F.floor((F.size("words") - sizes[0]) / piece).cast("int")
+    pieces = rows.select("id", "row_no", "words", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = pieces.select("id", "row_no", "piece", F.slice("words", F.col("piece") * piece + 1, piece + spans[-1] + sizes[-1] - 1).alias("words"))
+    pieces = written(pieces, "license-pieces")
+
+    def shingle(k) -> Column:
+        """Of the words of a place on; null where fewer are left."""
+        return F.when(F.col("at") + k <= F.size("words"), F.concat_ws(" ", F.slice("words", F.col("at") + 1, k)))
+
+    def places(of: DataFrame) -> DataFrame:
+        return of.select("row_no", "piece", "words", F.explode(F.sequence(F.lit(0), F.size("words") - sizes[0])).alias("at"))
+
+    retrieved = []
+    if spans[0] == 1:
+        single = ours.where("span = 1").select("license_id", "span", "shingles", "k", F.xxhash64("shingle").alias("value"))
+        values = [F.when(shingle(k).isNotNull(), F.xxhash64(shingle(k))) for k in sorted({x[4] for x in listed if x[2] == 1})]
+        at_place = places(pieces).where(F.col("at") < piece).select("row_no", "piece", F.col("at").alias("window"), F.explode(F.array(*values)).alias("value"))
+        retrieved.append(at_place.join(F.broadcast(single), "value").select("row_no", "piece", "span", "window", "license_id", "shingles", "k"))
+    if wide := [s for s in spans if s > 1]:
+        bands = {s: bands_for(counts_of[s], s, containment, recall) for s in wide}
+        names = [f"m{i}" for i in range(max(bands.values()))]
+        minima = [F.min(F.xxhash64(F.lit(i), "value")).alias(m) for i, m in enumerate(names)]
+        banded = F.posexplode(F.array(*names)).alias("band", "least")
+        bands_of = F.element_at(F.create_map(*(F.lit(x) for w in wide for x in (w, bands[w]))), F.col("span"))
+        of_templates = ours.where("span > 1").withColumn("value", F.xxhash64("shingle")).groupBy("license_id", "span", "shingles", "k").agg(*minima)
+        of_templates = of_templates.select("license_id", "span", "shingles", "k", banded).where(F.col("band") < bands_of)
+        page = F.split(F.lit(",".join(map(str, _bits(of_templates.select(_slot(F.col("least")).alias("slot")))))), ",").cast("array<bigint>")  # folded
+        known = F.exists(F.slice(F.array(*names), F.lit(1), bands_of), lambda m: F.getbit(page[F.call_function("shiftright", _slot(m), F.lit(6))], _slot(m).bitwiseAND(F.lit(63))) == 1)
+        # pieces are dealt once; the groups below all lie within a piece, so neither of them is dealt again
+        dealt = places(pieces.select("row_no", "piece", "words").repartition("row_no", "piece"))
+        hashed = dealt.where(shingle(n).isNotNull()).select("row_no", "piece", (F.floor(F.col("at") / 2) * 2).cast("int").alias("at"), F.xxhash64(shingle(n)).alias("value"))
+        pairs = hashed.groupBy("row_no", "piece", "at").agg(*minima)
+        block = F.floor(F.col("at") / F.col("span")).cast("int")
+        windows = pairs.select("*", F.explode(F.array(*map(F.lit, wide))).alias("span"))
+        windows = windows.select("*", F.explode(F.array(block - 1, block)).alias("window")).where((F.col("window") >= 0) & (F.col("window") * F.col("span") < piece))
+        signed = windows.groupBy("row_no", "piece", "span", "window").agg(*[F.min(m).alias(m) for m in names])
+        # most windows share no value with any template: told by a table of bits before their bands become rows
+        signed = signed.where(known).select("row_no", "piece", "span", "window", banded)
+        met = signed.join(F.broadcast(of_templates), ["span", "band", "least"])
+        retrieved.append(met.select("row_no", "piece", "span", "window", "license_id", "shingles", "k").distinct())
+
+    # The check of the retrieved: which of the template's shingles the window holds.
+    found = retrieved[0] if len(retrieved) == 1 else retrieved[0].unionByName(retrieved[1])
+    start = F.col("window") * F.col("span")
+    end = F.least(start + F.when(F.col("span") == 1, 1).otherwise(2 * F.col("span")), F.size("words"))
+    within = found.join(pieces, ["row_no", "piece"]).select("*", F.explode(F.sequence(start, end - 1)).alias("at"))
+    within = within.select("id", "row_no", "license_id", "piece", "window", "shingles", (F.col("at").cast("long") + F.col("piece") * F.lit(piece)).alias("at"), shingle(F.col("k")).alias("shingle"))
+    checked = within.join(F.broadcast(ours.select("license_id", "shingle")), ["license_id", "shingle"])
+    counts = checked.groupBy("id", "row_no", "license_id", "piece", "window", "shingles").agg(F.count_distinct("shingle").alias("held"), F.min("at").alias("at"))
     counts = counts.withColumn("containment", F.col("held") / F.col("shingles")).where(F.col("containment") >= containment)
     best = counts.groupBy("id", "row_no", "license_id", "shingles").agg(F.max(F.struct("containment", (-F.col("at")).alias("place"))).alias("best"))
     return best.select(F.col("id").alias(id_col), "license_id", F.col("best.containment").alias("containment"), F.col("shingles").cast("long").alias("shingles"), (-F.col("best.place")).alias("first_word"), "row_no")
