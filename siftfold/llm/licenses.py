@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftfold.llm.common import table, written
+from siftfold.llm.common import Bitmap, table, written
 
 #: Words of a shingle, and the least probability with which a window that holds enough of a template retrieves it.
 SHINGLE, RECALL = 5, 0.9999
@@ -202,15 +202,17 @@ def scan_licenses(
     rows = rows.where(F.arrays_overlap("words", F.array(*[F.lit(x) for x in sorted(anchors(templates, n))]))).where(F.size("words") >= sizes[0])
     last = F.floor((F.size("words") - sizes[0]) / piece).cast("int")
     pieces = rows.select("id", "row_no", "words", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    pieces = pieces.select("id", "row_no", "piece", F.slice("words", F.col("piece") * piece + 1, piece + spans[-1] + sizes[-1] - 1).alias("words"))
-    pieces = written(pieces, "license-pieces")
+    # as one string: arrays of short strings are thrice as large in a shuffle
+    joined = F.array_join(F.slice("words", F.col("piece") * piece + 1, piece + spans[-1] + sizes[-1] - 1), " ")
+    pieces = written(pieces.select("id", "row_no", "piece", joined.alias("words")), "license-pieces")
+    cut_again = F.split("words", " ").alias("words")
 
     def shingle(k) -> Column:
         """Of the words of a place on; null where fewer are left."""
         return F.when(F.col("at") + k <= F.size("words"), F.concat_ws(" ", F.slice("words", F.col("at") + 1, k)))
 
     def places(of: DataFrame) -> DataFrame:
-        return of.select("row_no", "piece", "words", F.explode(F.sequence(F.lit(0), F.size("words") - sizes[0])).alias("at"))
+        return of.select("row_no", "piece", cut_again).select("row_no", "piece", "words", F.explode(F.sequence(F.lit(0), F.size("words") - sizes[0])).alias("at"))
 
     retrieved = []
     if spans[0] == 1:
@@ -242,10 +244,13 @@ def scan_licenses(
         retrieved.append(met.select("row_no", "piece", "span", "window", "license_id", "shingles", "k").distinct())
 
     # The check of the retrieved: which of the template's shingles the window holds.
-    found = retrieved[0] if len(retrieved) == 1 else retrieved[0].unionByName(retrieved[1])
+    found = written(retrieved[0] if len(retrieved) == 1 else retrieved[0].unionByName(retrieved[1]), "license-windows")
+    # of the pieces only those with a retrieved template, and the few others that the filter lets through, are dealt again
+    at_piece = F.xxhash64("row_no", "piece").alias("key")
+    likely = Bitmap(found.select(at_piece), found.count()).keep(pieces.select("*", at_piece), "key").select("id", "row_no", "piece", cut_again)
     start = F.col("window") * F.col("span")
     end = F.least(start + F.when(F.col("span") == 1, 1).otherwise(2 * F.col("span")), F.size("words"))
-    within = found.join(pieces, ["row_no", "piece"]).select("*", F.explode(F.sequence(start, end - 1)).alias("at"))
+    within = found.join(likely, ["row_no", "piece"]).select("*", F.explode(F.sequence(start, end - 1)).alias("at"))
     within = within.select("id", "row_no", "license_id", "piece", "window", "shingles", (F.col("at").cast("long") + F.col("piece") * F.lit(piece)).alias("at"), shingle(F.col("k")).alias("shingle"))
     checked = within.join(F.broadcast(ours.select("license_id", "shingle")), ["license_id", "shingle"])
     counts = checked.groupBy("id", "row_no", "license_id", "piece", "window", "shingles").agg(F.count_distinct("shingle").alias("held"), F.min("at").alias("at"))
