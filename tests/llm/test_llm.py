@@ -177,24 +177,6 @@ def test_templates_of_a_table_and_sql(spark, tmp_path):
     assert sorted(map(key, licenses.op8_license_scan(spark, str(tmp_path)).collect())) == sorted(map(key, want.itertuples()))
 
 
-def test_bands_retrieve_at_the_stated_rate():
-    for span in (2, 4, 8, 64, 1024):
-        counts = range(span // 2 + 1, span + 1)
-        b = licenses.bands_for(list(counts), span)
-        least = min(h / (2 * span + n - h) for n in counts for h in [max(1, math.ceil(0.8 * n - 1e-9))])
-        assert 1 - (1 - least) ** b >= licenses.RECALL > 1 - (1 - least) ** (b - 1)
-    assert licenses.bands_for([1], 1) == 1
-
-
-def test_licenses_across_pieces(spark, monkeypatch):
-    """Templates at every place around the ends of pieces, in one long text, against brute force."""
-    monkeypatch.setattr(licenses, "PIECE", 8)
-    two = {"six": "a1 a2 a3 a4 a5 a6", "eight": "b1 b2 b3 b4 b5 b6 b7 b8 b9 c1 c2 c3", "one": "d1 d2"}
-    texts = [" ".join(["z"] * k + [two[x]] + ["y"] * 30) for x in two for k in range(20)]
-    got = {(r.doc_id, r.license_id): (r.containment, r.first_word) for r in licenses.scan_licenses(docs(spark, texts), templates=two).collect()}
-    assert got == {(20 * i + k, x): (1.0, k) for i, x in enumerate(two) for k in range(20)}
-
-
 def test_digest_index_merges_runs(spark):
     """Runs with shared, single and colliding digests, against a dictionary."""
     rng = np.random.default_rng(12)
