@@ -21,9 +21,13 @@ class ConfigurationError(SiftError, ValueError):
     pass
 
 
-class InvalidPathError(SiftError):
+class InvalidPathError(SiftError, OSError):
     pass
 
 
-class PipelineError(SiftError):
-    pass
+class PipelineError(SiftError, ValueError):
+    """A pipeline that can't be run as it is put together."""
+
+
+class RunError(SiftError, RuntimeError):
+    """A run that ended without its whole result."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftfold.functions import exprs, kernels
+from siftfold.model import RunError
 from siftfold.storage import scratch, written
 
 #: Rows of a block; two blocks are compared at once.
@@ -91,7 +92,7 @@ def leader_clusters(ids: DataFrame, pairs: DataFrame, rounds: int | None = None)
     done, parts = 0, max(state.rdd.getNumPartitions(), open_.rdd.getNumPartitions())
     while not open_.isEmpty():
         if done == rounds:
-            raise RuntimeError(f"rows without a cluster after {rounds} rounds")
+            raise RunError(f"rows without a cluster after {rounds} rounds")
         seen = open_.join(edges, "id").join(state.withColumnRenamed("id", "earlier"), "earlier", "left")
         led = F.max(F.coalesce(F.col("role") == "leader", F.lit(False)))
         settled = seen.groupBy("id").agg(led.alias("led"), F.min(F.coalesce(F.col("role") == "member", F.lit(False))).alias("free")).where("led or free")

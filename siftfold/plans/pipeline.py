@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftfold.config import BatchOptions
+from siftfold.model import PipelineError
 from siftfold.operators import grouping, similarity
 from siftfold.storage import written
 
@@ -98,7 +99,7 @@ def run_sequential(df: DataFrame, stages: list[Stage]) -> DataFrame:
     """id, group_key. Continue feeds the next stage; skip parks all rows as groups of one and duplicates are the result: both
     end the run. What is left after the last stage is grouped by size."""
     if not stages:
-        raise ValueError("a pipeline needs a stage")
+        raise PipelineError("a pipeline needs a stage")
     for stage in stages:
         # the decisions are written once, and contents joined back where the next stage needs them
         out = written(stage.apply(df).select("id", "group_key", "disposition"), f"stage-{stage.name}")
@@ -116,7 +117,7 @@ def run_sequential(df: DataFrame, stages: list[Stage]) -> DataFrame:
 def run_parallel(df: DataFrame, stages: list[Stage]) -> DataFrame:
     """id, group_key: each stage drops what it skips, the others go on; at the end rows are grouped by size, two or more a group."""
     if not stages:
-        raise ValueError("a pipeline needs a stage")
+        raise PipelineError("a pipeline needs a stage")
     for stage in stages:
         df = stage.apply(df).where("disposition <> 'skip'").drop("disposition", "group_key")
     return grouping.members_of_groups(df, "size").select("id", F.concat(F.lit("size:"), F.col("size").cast("string")).alias("group_key"))

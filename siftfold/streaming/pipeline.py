@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftfold.functions import exprs, kernels
+from siftfold.model import PipelineError
 from siftfold.operators import grouping
 from siftfold.storage import remove
 
@@ -53,7 +54,7 @@ class StreamingPipeline:
 
     def plan(self, stream: DataFrame) -> DataFrame:
         if not self.stages:
-            raise ValueError("a pipeline needs a stage")
+            raise PipelineError("a pipeline needs a stage")
         for stage in self.stages:
             stream = stream.transform(stage)
         return stream

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftfold.config import Config
 from siftfold.functions import exprs, kernels
-from siftfold.model import ConfigurationError
+from siftfold.model import ConfigurationError, PipelineError, RunError
 from siftfold.operators import grouping, similarity
 from siftfold.plans import pipeline, report
 from siftfold.sources import filetree
@@ -135,7 +135,7 @@ def test_leader_clusters_lose_no_row(spark):
     n = 8
     chain = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "id_a long, id_b long")  # a row is settled each round
     assert {r.id: r.leader for r in similarity.leader_clusters(spark.range(n), chain).collect()} == {i: i - i % 2 for i in range(n)}
-    with pytest.raises(RuntimeError):
+    with pytest.raises(RunError):
         similarity.leader_clusters(spark.range(n), chain, rounds=3)
     with pytest.raises(ValueError):
         similarity.leader_clusters(spark.range(1, n), chain)
@@ -148,7 +148,7 @@ def test_stages(spark):
     assert {r.id for r in pipeline.HashStage().apply(df).collect()} == {1, 2}
     assert pipeline.run_sequential(df.where("false"), [pipeline.MetadataStage()]).count() == 0
     assert {r.id for r in pipeline.run_parallel(df, [pipeline.QuickCheckStage(), pipeline.HashStage()]).collect()} == {1, 2}
-    with pytest.raises(ValueError):
+    with pytest.raises(PipelineError):
         pipeline.run_sequential(df, [])
 
 
@@ -179,7 +179,7 @@ def test_streaming_enrichment(spark, tmp_path):
     rows = {r.id: r for r in spark.table("enriched").collect()}
     assert rows[1].quick_check.sample_checksum == str(loop_checksum(b"k" * 300)) and rows[3].quick_check is None
     assert rows[1].statistical_info.entropy == 0 and rows[3].statistical_info is None
-    with pytest.raises(ValueError):
+    with pytest.raises(PipelineError):
         StreamingPipeline().plan(stream)
 
 
